@@ -1,0 +1,123 @@
+"""Equipment data dictionaries (revision E172-0225) as entity, reference and diagnostic tables, mapped by DataFrame operations."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import lexical_integer
+from .xml import nodes, revisions
+
+#: The dialect's names.
+NAMESPACE = "urn:semi-org:xsd.SEDD"
+REVISION = "E172-0225"
+REVISION_PATTERN = r"E172-([0-9]{4})-SEDD-Schema\.xsd"
+#: section, item, entity type, id element, name element (or @attribute), other fields
+ITEMS = (
+    ("StatusVariables", "StatusVariable", "status_variable", "SVID", "SVNAME", {"minimum": "MinValue", "maximum": "MaxValue", "units": "UNITS"}),
+    ("DataVariables", "DataVariable", "data_variable", "VID", "DVVALNAME", {"minimum": "MinValue", "maximum": "MaxValue", "units": "UNITS"}),
+    ("EquipmentConstants", "EquipmentConstant", "equipment_constant", "ECID", "ECNAME", {"minimum": "ECMIN", "maximum": "ECMAX", "default": "ECDEF", "units": "UNITS"}),
+    ("CollectionEvents", "CollectionEvent", "collection_event", "CEID", "CENAME", {}),
+    ("Alarms", "Alarm", "alarm", "ALID", "AlarmName", {"code": "ALCD", "text": "ALTX"}),
+    ("VariableFormats", "VariableFormat", "variable_format", None, "FormatName", {}),
+    ("SECSMessages", "SECSMessage", "supported_message", None, "@name", {"stream": "@s", "function": "@f", "direction": "@direction", "mnemonic": "@mnenomic", "reply_bit": "@replyBit", "blocking": "@blocking"}),
+    ("RemoteCommands", "RemoteCommand", "remote_command", None, "Name", {}),
+    ("AssociatedParameters", "Parameter", "remote_command_parameter", None, "Name", {"requiredness": "@IsRequired"}),
+    ("DefaultReportDefinitions", "DefaultReportDefinition", "default_report", "RPTID", "DefaultReportName", {}),
+    ("DefaultEventReportLinks", "EventReportLink", "event_report_link", None, None, {}),
+    ("SEMIStandards", "SupportedSEMIStandard", "standard_reference", None, "SEMIStandardName", {"designation": "SEMIStandard"}),
+)
+#: role, element below the item (or list and member), selector, target types
+VARIABLES = ("status_variable", "data_variable", "equipment_constant")
+SCALAR_REFERENCES = (
+    ("format", "Format", "name", ("variable_format",)),
+    ("standards", "SEMIStandard", "name", ("standard_reference",)),
+    ("set_event", "SetEvent", "id", ("collection_event",)),
+    ("clear_event", "ClearEvent", "id", ("collection_event",)),
+    ("event", "CEID", "id", ("collection_event",)),
+)
+LIST_REFERENCES = (
+    ("variables", "VIDList", "VID", VARIABLES),
+    ("reports", "RPTIDList", "RPTID", ("default_report",)),
+    ("valid_data_variables", "VALIDDVS", "VID", ()),
+    ("relevant_variables", "RelevantVariables", "VID", ()),
+)
+REQUIRED_SECTIONS = ("CollectionEvents", "DataVariables", "StatusVariables", "EquipmentConstants", "Alarms", "VariableFormats")
+_NIL = "http://www.w3.org/2001/XMLSchema-instance}nil"
+
+
+class Dictionary:
+    """Lazy tables of one or many documents."""
+
+    def __init__(self, node_table: DataFrame):
+        self.nodes = node_table
+        parent = node_table.select("doc_id", F.col("node_id").alias("parent_id"), F.col("local").alias("section"), F.col("parent_id").alias("grand_id"))
+        self.items = node_table.join(parent, ["doc_id", "parent_id"])
+
+    def routing(self) -> DataFrame:
+        """(doc_id, root_ok, code, revision, support): whether the adapter takes each document."""
+        root = self.nodes.filter("parent_id is null").select("doc_id", ((F.col("local") == "DataDictionary") & (F.col("ns") == NAMESPACE)).alias("root_ok"))
+        hint = revisions(self.nodes, REVISION_PATTERN)
+        support = F.when(~F.col("root_ok"), "UNSUPPORTED").when(F.col("revision") == REVISION[5:], "SUPPORTED").when(F.col("code") == "MISSING", "INDETERMINATE").otherwise("UNSUPPORTED")
+        return root.join(hint, "doc_id").withColumn("support", support)
+
+    def _fields(self) -> DataFrame:
+        """(doc_id, parent_id, one, n): by child name the text of single leaf children, and how many there are."""
+        leaf = self.nodes.filter(F.coalesce(F.col("attrs")[_NIL], F.lit("false")).isin("true", "1") == F.lit(False))
+        per = leaf.groupBy("doc_id", "parent_id", "local").agg(F.count("*").cast("int").alias("n"), F.min_by("text", "ordinal").alias("text"), F.max("n_children").alias("deep"))
+        one = F.map_from_entries(F.collect_list(F.when((F.col("n") == 1) & (F.col("deep") == 0), F.struct("local", "text"))))
+        count = F.map_from_entries(F.collect_list(F.struct("local", "n")))
+        return per.groupBy("doc_id", "parent_id").agg(one.alias("one"), count.alias("n"))
+
+    def entities(self) -> DataFrame:
+        """All entity types in one table; fields that a type lacks are NULL."""
+        fields = self._fields().withColumnRenamed("parent_id", "node_id")
+        rows = self.items.join(fields, ["doc_id", "node_id"], "left")
+        # A parameter's command is the parent of its list.
+        command = self.nodes.select("doc_id", F.col("node_id").alias("grand_id"), F.col("path").alias("grand_path"))
+        rows = rows.join(command, ["doc_id", "grand_id"], "left")
+        value = lambda tag: F.lit(None).cast("string") if tag is None else F.col("attrs")[tag[1:]] if tag[0] == "@" else F.col("one")[tag]
+        extra = sorted({f for *_, more in ITEMS for f in more})
+        cases = [((F.col("section") == s) & (F.col("local") == i), t, ident, name, more) for s, i, t, ident, name, more in ITEMS]
+        pick = lambda get: reduce(lambda c, x: c.when(x[0], get(x)), cases[1:], F.when(cases[0][0], get(cases[0])))
+        wkn = F.col("one")["WellKnownName"]
+        out = rows.withColumn("canonical_type", pick(lambda x: F.lit(x[1]))).filter("canonical_type is not null")
+        return out.select("doc_id", F.col("path").alias("key"), "canonical_type", pick(lambda x: value(x[2])).alias("implementation_id"), pick(lambda x: value(x[3])).alias("name"), F.coalesce(F.col("one")["Description"], F.col("one")["Documentation"]).alias("description"), F.col("one")["Source"].alias("declared_source"), wkn.alias("wkn_value"), F.when(wkn.isNotNull(), "UNVERIFIED").alias("wkn_status"), F.when(F.col("canonical_type") == "remote_command_parameter", F.col("grand_path")).alias("owner_key"), *[pick(lambda x, f=f: value(x[4].get(f))).alias(f) for f in extra], "n", "line", "col")  # noqa: E501
+
+    def references(self) -> DataFrame:
+        """One row for every reference occurrence, in order within its role."""
+        owner = self.items.select("doc_id", F.col("node_id").alias("parent_id"), F.col("path").alias("owner_key"), F.col("section"), F.col("local").alias("item"))
+        known = reduce(lambda a, b: a | b, [(F.col("section") == s) & (F.col("item") == i) for s, i, *_ in ITEMS])
+        owner = owner.filter(known)
+        kids = self.nodes.select("doc_id", "parent_id", F.col("local").alias("tag"), "ordinal", "text", "node_id", "attrs").join(owner, ["doc_id", "parent_id"])
+        types = lambda t: F.array(*map(F.lit, t)).cast("array<string>")
+        none, out = F.lit(None).cast("string"), []
+        for role, tag, kind, targets in SCALAR_REFERENCES:
+            k = kids.filter((F.col("tag") == tag) & ((F.col("item") == "EventReportLink") if role == "event" else (F.col("item") != "SupportedSEMIStandard")))
+            out.append(k.select("doc_id", "owner_key", F.lit(role).alias("field"), F.lit(None).cast("int").alias("idx"), F.lit(role).alias("role"), types(targets).alias("target_types"), (F.col("text") if kind == "id" else none).alias("implementation_id"), (F.col("text") if kind == "name" else none).alias("name")))
+        for role, container, member, targets in LIST_REFERENCES:
+            lists = kids.filter(F.col("tag") == container).select("doc_id", F.col("node_id").alias("list_id"), "owner_key")
+            members = self.nodes.filter(F.col("local") == member).select("doc_id", F.col("parent_id").alias("list_id"), "ordinal", "text", "attrs").join(lists, ["doc_id", "list_id"])
+            out.append(members.select("doc_id", "owner_key", F.lit(role).alias("field"), F.col("ordinal").alias("idx"), F.concat(F.lit(role + "["), "ordinal", F.lit("]")).alias("role"), types(targets).alias("target_types"), F.col("text").alias("implementation_id"), F.col("attrs")["name"].alias("name") if not targets else none.alias("name")))
+        return reduce(DataFrame.unionByName, out)
+
+    def diagnostics(self) -> DataFrame:
+        """(doc_id, code, severity, key, field): fields that are missing, repeated or invalid, and missing sections."""
+        e = self.entities()
+        tags = {t: [x for x in (i, n) if x and x[0] != "@"] for _, _, t, i, n, _ in ITEMS}
+        needed = reduce(lambda c, x: c.when(F.col("canonical_type") == x[0], F.array(*map(F.lit, x[1])).cast("array<string>")), tags.items(), F.when(F.lit(False), F.array().cast("array<string>")))
+        asked = e.select("doc_id", "key", "n", F.explode(needed).alias("field"))
+        n = F.coalesce(F.col("n")[F.col("field")], F.lit(0))
+        code = F.when(n == 0, "MISSING_REQUIRED_STRUCTURE").when(n > 1, "AMBIGUOUS_FIELD")
+        shape = asked.withColumn("code", code).filter("code is not null").select("doc_id", "code", F.lit("ERROR").alias("severity"), "key", "field")
+        alarms = e.filter("canonical_type = 'alarm' and code is not null").filter(lexical_integer(F.col("code"), -128, 127).isNull()).select("doc_id", F.lit("INVALID_FIELD").alias("code"), F.lit("ERROR").alias("severity"), "key", F.lit("ALCD").alias("field"))
+        present = self.nodes.filter("depth = 2").groupBy("doc_id").agg(F.collect_set("local").alias("have"))
+        absent = present.select("doc_id", F.explode(F.array_except(F.array(*map(F.lit, REQUIRED_SECTIONS)), "have")).alias("field")).select("doc_id", F.lit("MISSING_REQUIRED_STRUCTURE").alias("code"), F.lit("ERROR").alias("severity"), F.lit(None).cast("string").alias("key"), "field")
+        return shape.unionByName(alarms).unionByName(absent)
+
+
+def from_files(files: DataFrame) -> Dictionary:
+    """files: (doc_id, content)."""
+    return Dictionary(nodes(files))
