@@ -7,8 +7,8 @@ member; regions of more than REGION members are cut again at greater depths, so
 of those it shares the longest common prefixes with. Candidates whose signatures agree by less than the threshold minus
 MARGIN go (a pair at the threshold is lost so with a chance below 1e-8); the others are confirmed on their full shingle
 sets. Components of confirmed links follow. Regions that still hold several components are then compared block by
-block, signature against signature, across components only; what that finds is confirmed and joined in the same way. So a
-link is lost only if its two documents share no region in any tree: (1 - 0.8**4)**28 = 1.4e-11 at the threshold.
+block, signature against signature and then set against set, across components only; tasks emit no more than a spanning forest
+of the links they confirm. So a link is lost only if its two documents share no region in any tree: (1 - 0.8**4)**28 = 1.4e-11 at the threshold.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; repeated rows share a class; rows with a
 null id are returned unlinked, with a null component; any other columns are ignored.
@@ -115,7 +115,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _regions(sigs: DataFrame, depth: int) -> DataFrame:
-    """(key, doc_id): the region of every document in every tree at a depth."""
+    """(key, doc_id): the region of every document in every tree at a depth; the key's last five bits are the tree."""
 
     def scan(batches):
         turn = (np.arange(TREES)[:, None] * DEPTH + np.arange(depth)[None, :]) % (TREES * DEPTH)
@@ -126,7 +126,7 @@ def _regions(sigs: DataFrame, depth: int) -> DataFrame:
                 acc = np.full(len(m), t * 64 + depth, np.uint64)
                 for i in turn[t]:
                     acc = _mix(acc * _M + m[:, i])
-                key[:, t] = acc
+                key[:, t] = acc >> np.uint64(5) << np.uint64(5) | np.uint64(t)
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), TREES)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "doc_id"])
 
@@ -169,27 +169,49 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(scan, "a long, b long").distinct()
 
 
-def _crossing(rows: DataFrame, least: float) -> DataFrame:
-    """rows: (key, doc_id, label, sig), blocks of a region's documents. Pairs across labels whose signatures agree enough."""
-
-    size = rows.groupBy("key").agg(F.count("*").alias("n"))
-    cut = rows.join(size, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+def _crossing(rows: DataFrame, least: float, words: int, percent: int) -> DataFrame:
+    """rows: (key, doc_id, label, sig, text), the documents of regions. Confirmed links across labels, cut down in each pair of blocks to
+    a spanning forest, so that a region gives no more rows than it has documents and blocks. A pair is looked at in the first
+    tree that brings it together only.
+    """
+    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
     # Block i meets block j <= i: each row goes to the tasks of its own row and column of the triangle.
-    dealt = cut.select("key", "doc_id", "label", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = cut.select("key", "doc_id", "label", "sig", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("hi", F.greatest("block", "other")).withColumn("lo", F.least("block", "other"))
 
     def compare(t: pa.Table) -> pa.Table:
         ids, label, block = (t.column(c).to_numpy() for c in ("doc_id", "label", "block"))
         m = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
-        hi, lo = t.column("hi")[0].as_py(), t.column("lo")[0].as_py()
+        tree, hi, lo = t.column("key")[0].as_py() & 31, t.column("hi")[0].as_py(), t.column("lo")[0].as_py()
         left, right = np.flatnonzero(block == hi), np.flatnonzero(block == lo)
-        a, b = [], []
+        near, parent, sets, texts, out = m.reshape(len(m), TREES, DEPTH), {}, {}, t.column("text"), []
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def of(i):
+            if i not in sets:
+                sets[i] = shingles(texts[int(i)].as_py(), words)
+            return sets[i]
+
         for i in left:
-            js = right[(label[right] != label[i]) & (ids[right] < ids[i] if hi == lo else True)]
-            js = js[(m[js] == m[i]).mean(1) >= least] if len(js) else js
-            a.append(np.minimum(ids[js], ids[i]))
-            b.append(np.maximum(ids[js], ids[i]))
-        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), "b": np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)})
+            js = right[(label[right] != label[i]) & ((ids[right] < ids[i]) | (hi != lo))]
+            alike = (m[js] == m[i]).mean(1) >= least
+            js = js[alike]
+            if len(js) and tree:
+                js = js[~(near[js, :tree] == near[i, :tree]).all(2).any(1)]
+            for j in js:
+                if ids[j] == ids[i] or root(label[i]) == root(label[j]):
+                    continue
+                x, y = of(i), of(j)
+                same = _same(x, y) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                if same and 100 * same >= percent * (len(x) + len(y) - same):
+                    parent[root(label[i])] = root(label[j])
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(y) for _, y in out], pa.int64())})
 
     return dealt.groupBy("key", "hi", "lo").applyInArrow(compare, "a long, b long").distinct()
 
@@ -227,10 +249,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = lambda lab: base.join(stats.filter("n > 2").select("key"), "key", "left_semi").join(lab.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     member = table(labelled(label), "members")
     split = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    rest = member.join(split, "key", "left_semi").join(reps.select("doc_id", "sig"), "doc_id")
-    more = table(_crossing(rest, least).join(near, ["a", "b"], "left_anti"), "crossing")
+    texts = docs.filter("doc_id is not null and text is not null")
+    rest = member.join(split, "key", "left_semi").join(reps.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
+    more = table(_crossing(rest, least, words, percent), "crossing")
     if not more.isEmpty():
-        links = table(links.unionByName(_confirmed(more, docs, words, percent)), "links")
+        links = table(links.unionByName(more), "links")
         label = table(components(links), "labels")
     for t in (base, stats, member, near, more):
         drop_table(t)

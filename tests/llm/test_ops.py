@@ -212,13 +212,22 @@ def test_near_duplicates_chains_in_one_dense_region(spark, monkeypatch):
     assert near(spark.createDataFrame(rows, DOCS), words=4) == brute_components(rows, 4, 80)
 
 
-def test_near_duplicates_crossing_blocks(spark, monkeypatch):
+def test_near_duplicates_crossing_blocks(spark):
+    """A region in which no link is known yet: blocks must find all components by themselves."""
     rng = random.Random(2)
-    seeds = spark.createDataFrame([(i, i % 3, minhash.signature(minhash.shingles(" ".join(["a b c d e f"] + words(rng, 40)), 4), minhash._seeds(112)).tobytes()) for i in range(40)], "doc_id long, label long, sig binary")
-    rows = seeds.withColumn("key", F.lit(1).cast("long"))
-    got = {(r.a, r.b) for r in minhash._crossing(rows, 0.05).collect()}
-    m = {r.doc_id: (r.label, np.frombuffer(r.sig, np.uint32)) for r in seeds.collect()}
-    assert got == {(a, b) for a in m for b in m if a < b and m[a][0] != m[b][0] and (m[a][1] == m[b][1]).mean() >= 0.05}
+    base = words(rng, 60, 10**6)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"e{rng.random()}"
+        rows.append((i, " ".join(w)))
+    seeds = minhash._seeds(minhash.TREES * minhash.DEPTH)
+    data = [(0, i, i, minhash.signature(minhash.shingles(t, 4), seeds).tobytes(), t) for i, t in rows]
+    df = spark.createDataFrame(data, "key long, doc_id long, label long, sig binary, text string")
+    got = {r.node: r.component for r in components(minhash._crossing(df, 0.6, 4, 80)).collect()}
+    want = {i: c for i, (_, c) in brute_components(rows, 4, 80).items()}
+    assert {i: got.get(i, i) for i in want} == want
 
 
 def test_near_duplicates_empty(empty):
