@@ -4,7 +4,8 @@ Writing goes through Spark's text writer with the record terminator as line sepa
 writes to and is committed by task. Reading goes through Spark's text reader with the record magic as delimiter, so archives of any
 size are split. Tasks emit, for every occurrence of the magic, a candidate offset and the successor its header implies.
 Payloads may hold the magic as well; pointer jumping from offset 0 of each file keeps only reachable candidates:
-in round k every known record adds the one 2**k records on, so a file of n records takes log2(n) rounds.
+in round k every known record adds the one 2**k records on. Within a segment of a file these rounds run in one task's memory; between
+segments they run as joins, so a file of n segments takes log2(n) of those, and a file of one segment none.
 
 Defined results: null html is an empty payload; equal payloads of `least_bytes` and more become revisits of the smallest id;
 rows that repeat an id with an equal payload are responses both; an empty table gives empty archives and no records.
@@ -16,7 +17,9 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
 LEAST_BYTES = 0
+#: Bytes of a file whose candidates one task holds: at most a tenth as many, of two integers each.
+SEGMENT = 64 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -95,20 +100,73 @@ def _scanned(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(scan, "file string, block long, at long, size long, head long, length long, kind string, id string, refers string, stated string, sha string")
 
 
-def _reachable(links: DataFrame) -> DataFrame:
-    """links: (file, off, succ). The (file, off) on the chain from offset 0 of each file, by pointer jumping."""
-    known = table(links.filter("off = 0").select("file", "off"), "known")
-    jump = links.filter("succ > off")
+def _successors(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one segment: offsets in order, their successors (-1: none), and the place of each one's successor; its own if that isn't here."""
+    off, succ = t.column("off").to_numpy(), t.column("succ").fill_null(-1).to_numpy()
+    order = np.argsort(off, kind="stable")
+    off, succ = off[order], succ[order]
+    at = np.minimum(np.searchsorted(off, succ), len(off) - 1)
+    return off, succ, np.where((off[at] == succ) & (succ > off), at, np.arange(len(off)))
+
+
+def _exits(links: DataFrame) -> DataFrame:
+    """(file, off, succ): where the chain of each candidate first leaves its segment, for those whose chain does."""
+
+    def leave(t: pa.Table) -> pa.Table:
+        off, succ, to = _successors(t)
+        while (to != to[to]).any():
+            to = to[to]
+        out = succ[to]
+        gone = out // SEGMENT > off // SEGMENT
+        return pa.table({"file": pa.array([t.column("file")[0].as_py()] * int(gone.sum()), pa.string()), "off": off[gone], "succ": out[gone]})
+
+    return links.groupBy("file", F.expr(f"off div {SEGMENT}").alias("segment")).applyInArrow(leave, "file string, off long, succ long")
+
+
+def _entries(links: DataFrame) -> DataFrame:
+    """(file, off): offset 0 of each file, and where its chain enters each later segment, by pointer jumping from exit to exit."""
+    known = links.filter("off = 0").select("file", "off")
+    exits = table(_exits(links), "exits")
+    targets = exits.select("file", F.col("succ").alias("off")).distinct()
+    jump = table(exits.filter("off > 0").join(targets, ["file", "off"], "left_semi").unionByName(exits.filter("off = 0")), "jump")
+    drop_table(exits)
+    if jump.isEmpty():
+        return known
+    known = table(known, "known")
+    n = known.count()
     while True:
-        n = known.count()
         step = known.join(jump, ["file", "off"]).select("file", F.col("succ").alias("off"))
-        new = table(known.unionByName(step.join(links.select("file", "off"), ["file", "off"], "left_semi")).distinct(), "known")
-        if new.count() == n:
-            return new
+        new = table(known.unionByName(step).distinct(), "known")
         drop_table(known)
-        known = new
+        known, before, n = new, n, new.count()
+        if n == before:
+            return known
         onward = jump.select("file", F.col("off").alias("succ"), F.col("succ").alias("next"))
-        jump = table(jump.join(onward, ["file", "succ"]).select("file", "off", F.col("next").alias("succ")), "jump")
+        longer = table(jump.join(onward, ["file", "succ"]).select("file", "off", F.col("next").alias("succ")), "jump")
+        drop_table(jump)
+        jump = longer
+
+
+def _reachable(links: DataFrame) -> DataFrame:
+    """links: (file, off, succ). The (file, off) on the chain from offset 0 of each file. Pointers are jumped at two levels: within
+    segments of SEGMENT bytes, each in the memory of one task, and from segment to segment between tables.
+    """
+    marks = _entries(links).select("file", "off", F.lit(None).cast("long").alias("succ"), F.lit(True).alias("entry"))
+    rows = links.select("file", "off", "succ", F.lit(False).alias("entry")).unionByName(marks)
+
+    def mark(t: pa.Table) -> pa.Table:
+        own = t.filter(pc.invert(t.column("entry")))
+        if not own.num_rows:
+            return pa.table({"file": pa.array([], pa.string()), "off": pa.array([], pa.int64())})
+        off, _, to = _successors(own)
+        on = np.isin(off, t.filter(t.column("entry")).column("off").to_numpy())
+        while (to != to[to]).any():
+            on[to[on]] = True
+            to = to[to]
+        on[to[on]] = True
+        return pa.table({"file": pa.array([t.column("file")[0].as_py()] * int(on.sum()), pa.string()), "off": off[on]})
+
+    return rows.groupBy("file", F.expr(f"off div {SEGMENT}").alias("segment")).applyInArrow(mark, "file string, off long")
 
 
 def _offsets(scanned: DataFrame) -> DataFrame:
@@ -123,7 +181,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     scanned = table(_scanned(spark, path), "scanned")
     pieces = table(_offsets(scanned).withColumn("succ", F.when(F.col("length") >= 0, F.col("off") + len(MAGIC) + F.col("head") + F.col("length") + len(END))), "pieces")
     drop_table(scanned)
-    chain = _reachable(pieces.select("file", "off", "succ"))
+    chain = table(_reachable(pieces.select("file", "off", "succ")), "chain")
     records = table(pieces.join(chain, ["file", "off"], "left_semi").filter("length >= 0"), "records")
     whole = records.filter("sha is not null")
     broken = records.filter("sha is null")

@@ -496,3 +496,11 @@ def test_mixing_given_targets(spark):
     got = mixing.weigh(mixed(df), targets={"source": {"a": 0.5, "b": 0.5}}, budget=0.4).withColumn("on", mixing.drawn("doc_id") < F.col("probability")).filter("on").groupBy("source").count().collect()
     n = {r.source: r["count"] for r in got}
     assert abs(n["a"] - 800) < 110 and abs(n["b"] - 800) < 110
+
+
+def test_warc_chains_across_segments(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SEGMENT", 500)
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" + ("WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * (i % 40))) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(df, new_path(spark, "warc")).collect()}
+    assert got == {i: (len(h), warc.digest(h.encode())) for i, _, h in rows}
