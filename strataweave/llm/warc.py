@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, prepare, table
+from .common import BATCH_BYTES, drop_table, prepare, table
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -42,7 +42,38 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     first = rows.groupBy("sha", "n").agg(F.min("page_id").alias("first")).filter(F.col("n") >= least_bytes)
-    return rows.join(first, ["sha", "n"], "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
+    # Payloads travel to their group compressed; a revisit's needn't be unpacked.
+    joined = _squeezed(rows).join(first, ["sha", "n"], "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")))
+    return _unpacked(joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "n", "sha", "refers_to"))
+
+
+def _squeezed(rows: DataFrame) -> DataFrame:
+    prepare(rows.sparkSession)
+
+    def scan(batches):
+        codec = pa.Codec("zstd")
+        for b in batches:
+            packed = pa.array([codec.compress(v.as_buffer(), asbytes=True) for v in b.column("payload")], pa.binary())
+            yield b.set_column(b.schema.get_field_index("payload"), "payload", packed)
+
+    return rows.withColumn("payload", F.col("payload").cast("binary")).mapInArrow(scan, "page_id long, url string, payload binary, n long, sha string")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """Undoes _squeezed, in batches of about BATCH_BYTES of payload; a null payload is an empty one."""
+
+    def scan(batches):
+        codec = pa.Codec("zstd")
+        for b in batches:
+            ends = np.cumsum(b.column("n").to_numpy()) // BATCH_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                part = b.slice(lo, hi - lo)
+                sizes = part.column("n").to_pylist()
+                raw = pa.array([codec.decompress(v.as_buffer(), n, asbytes=True) if v.is_valid and n else b"" for v, n in zip(part.column("payload"), sizes, strict=True)], pa.binary())
+                yield part.set_column(part.schema.get_field_index("payload"), "payload", raw)
+
+    return rows.mapInArrow(scan, "page_id long, url string, payload binary, n long, sha string, refers_to long").withColumn("payload", F.col("payload").cast("string"))
 
 
 def write(pages: DataFrame, path: str, **columns) -> None:
