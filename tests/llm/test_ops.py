@@ -504,3 +504,8 @@ def test_warc_chains_across_segments(spark, monkeypatch):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
     got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(df, new_path(spark, "warc")).collect()}
     assert got == {i: (len(h), warc.digest(h.encode())) for i, _, h in rows}
+
+
+def test_ann_repeated_ids_are_one_candidate_and_one_query(spark):
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [3.0, 4.0]), (7, [4.0, 3.0]), (7, [4.0, 3.0]), (8, [0.0, 1.0])]
+    assert run_nearest(spark, rows) == {5: [(7, 4.0), (8, 0.0)]}
