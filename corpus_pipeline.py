@@ -34,11 +34,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of near duplicates (five-word shingles, similarity 0.8)."""
+    """Keeps the smallest id of every group of near duplicates (five-word shingles, similarity 0.8).
+
+    Rows that repeat an id are copies, of which one stays; rows with a null id are in no group and all stay.
+    """
     docs = _documents(docs)
     found = minhash.near_duplicates(docs)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return _documents(docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]))
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return _documents(kept.unionByName(docs.filter("doc_id is null")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,14 @@ def test_stages(spark, small):
     assert abs(share - mixing.BUDGET) < 0.2
     got = pipeline.STAGES[-1][1](spark, docs, small).collect()
     check_packing([(r.doc_id, r.text) for r in seen["mixing"]], got, tokenizer_path())
+
+
+def test_near_dedup_keeps_every_row_without_id(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(words), "en", "s", 1), (None, "another text", None, None, None), (None, None, "en", "s", 0)]
+    rows += [(i, " ".join(words), "en", "s", 1) for i in (9, 4, 4)]
+    rows += [(7, None, None, None, None), (8, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [4, 7, 8]
+    assert sorted(r.text or "" for r in got if r.doc_id is None) == ["", "another text", " ".join(words)]
