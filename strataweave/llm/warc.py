@@ -31,6 +31,8 @@ _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
 LEAST_BYTES = 0
 #: Bytes of a file whose candidates one task holds: at most a tenth as many, of two integers each.
 SEGMENT = 64 << 20
+#: Of the compression of payloads on their way to their group.
+LEVEL = 6
 
 
 def digest(payload: bytes) -> str:
@@ -51,7 +53,7 @@ def _squeezed(rows: DataFrame) -> DataFrame:
     prepare(rows.sparkSession)
 
     def scan(batches):
-        codec = pa.Codec("zstd")
+        codec = pa.Codec("zstd", compression_level=LEVEL)
         for b in batches:
             packed = pa.array([codec.compress(v.as_buffer(), asbytes=True) for v in b.column("payload")], pa.binary())
             yield b.set_column(b.schema.get_field_index("payload"), "payload", packed)
