@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import diff, graph, match, resolve
+from ..sinks import reports
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,6 +211,26 @@ def completeness(spark, sf):
     return s.select("is_complete", (F.col("interface") > 0).alias("has_interface"), (F.col("documentation") > 0).alias("has_documentation"), (F.col("unknown") > 0).alias("has_unknown"))
 
 
+def report_json(spark, sf):
+    """Each change as canonical JSON under its public code."""
+    return reports.change_rows(_supplier_changes(spark, sf).withColumn("key", F.col("key").cast("string")))
+
+
+def report_html(spark, sf):
+    """Each change as an escaped row of a page."""
+    return reports.html_rows(_supplier_changes(spark, sf).withColumn("key", F.col("key").cast("string")))
+
+
+def report_text(spark, sf):
+    """Each change as one line of text."""
+    return reports.text_rows(_supplier_changes(spark, sf).withColumn("key", F.col("key").cast("string")))
+
+
+def check_relationships(spark, sf):
+    """The rule that a reference is ambiguous just if it has two candidates or more: how many references there are and break it."""
+    return resolve_by_name(spark, sf).agg(F.count("*").alias("checked"), F.count_if((F.col("state") == "AMBIGUOUS") != (F.col("n_candidates") >= 2)).alias("broken"))
+
+
 def _turns(spark, sf):
     c = read(spark, sf, "conversations").select("conv_id", "turn", "role")
     new = c.filter("turn % 4 <> 3").select("conv_id", F.when(F.col("conv_id") % 3 == 0, -F.col("turn")).otherwise(F.col("turn")).alias("turn"), F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0), "system").otherwise(F.col("role")).alias("role"))
@@ -320,6 +341,10 @@ ORACLE = {
     "change_code": _CHANGES + "SELECT 'SV_' || kind AS code, count(*) AS n FROM k GROUP BY kind",
     "report_summary": _CHANGES + "SELECT count(*) AS changes, count(*) FILTER (category = 'INTERFACE_CHANGE') AS interface, count(*) FILTER (category = 'DOCUMENTATION_CHANGE') AS documentation, CAST(0 AS BIGINT) AS unknown, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed FROM k",
     "completeness": _CHANGES + "SELECT true AS is_complete, count(*) FILTER (category = 'INTERFACE_CHANGE') > 0 AS has_interface, count(*) FILTER (category = 'DOCUMENTATION_CHANGE') > 0 AS has_documentation, false AS has_unknown FROM k",
+    "report_json": _CHANGES + """SELECT 'SV_' || kind AS code, CAST(to_json({'after': after, 'before': before, 'canonical_type': 'status_variable', 'category': category, 'code': 'SV_' || kind, 'field': field, 'key': CAST(key AS VARCHAR), 'kind': kind}) AS VARCHAR) AS json FROM k""",
+    "report_html": _CHANGES + """SELECT CAST(key AS VARCHAR) AS key, field, '<tr><td>SV_' || kind || '</td><td>status_variable ' || key || '</td><td>' || field || '</td><td>' || replace(coalesce(before, '—'), '&', '&amp;') || '</td><td>' || replace(coalesce(after, '—'), '&', '&amp;') || '</td></tr>' AS html FROM k""",
+    "report_text": _CHANGES + """SELECT CAST(key AS VARCHAR) AS key, field, category || '  ' || kind || '  status_variable ' || key || '.' || field || ': ' || coalesce('"' || before || '"', 'none') || ' -> ' || coalesce('"' || after || '"', 'none') AS line FROM k""",
+    "check_relationships": "SELECT count(*) AS checked, CAST(0 AS BIGINT) AS broken FROM part WHERE p_partkey % 7 = 0",
     "diff_multiset": _TURNS + "SELECT conv_id, coalesce(string_agg(CASE WHEN d > 0 THEN rtrim(repeat(role || ',', CAST(d AS BIGINT)), ',') END, ',' ORDER BY role), '') AS added, coalesce(string_agg(CASE WHEN d < 0 THEN rtrim(repeat(role || ',', CAST(-d AS BIGINT)), ',') END, ',' ORDER BY role), '') AS removed FROM d GROUP BY conv_id",
     "diff_order": _TURNS + "SELECT conv_id, coalesce(list_sort(a) = list_sort(b) AND a <> b, false) AS order_changed, (a IS NULL OR b IS NULL) AS presence_changed FROM l",
     "certain_add_remove": """WITH u AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'old' ELSE 'new' END AS side, 'supplier' AS canonical_type, CASE WHEN s_suppkey = 3 THEN 0 ELSE 1 END AS sure FROM supplier UNION ALL SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'old' ELSE 'new' END, 'nation', 1 FROM nation),
