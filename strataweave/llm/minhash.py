@@ -213,7 +213,8 @@ def _crossing(rows: DataFrame, least: float, words: int, percent: int) -> DataFr
                     out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(y) for _, y in out], pa.int64())})
 
-    return dealt.groupBy("key", "hi", "lo").applyInArrow(compare, "a long, b long").distinct()
+    # Dealt anew: the join left all of a region in one task, which would do for the grouping but not for the work.
+    return dealt.repartition("key", "hi", "lo").groupBy("key", "hi", "lo").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
