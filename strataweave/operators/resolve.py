@@ -49,24 +49,26 @@ def resolve(references: DataFrame, entities: DataFrame, by: list[str] | None = N
     """references plus n_candidates, state, reason, target_key and sorted candidate_keys.
 
     Every given selector must name the candidate (an intersection, counted in one aggregation); the wrong-type probe is another
-    aggregate of the same join. Unreferenced entities cost nothing but the scan.
+    aggregate of the same join. References that ask the same are one question, so a name asked by many meets its candidates once.
+    Unreferenced entities cost nothing but the scan.
     """
     by = by or []
     r = with_optional(references, "wkn_value", "wkn_authority", "wkn_scope", "scope_key", "target_key").withColumnRenamed("target_key", "given_target")
     r = r.withColumn("__selectors", F.filter(F.array(F.struct(F.lit("id").alias("selector"), F.col("implementation_id").alias("value")), F.struct(F.lit("name").alias("selector"), F.col("name").alias("value")), F.struct(F.lit("wkn").alias("selector"), _wkn().alias("value"))), lambda s: s["value"].isNotNull()))
-    identity = [*by, "owner_key", "role"]
-    asked = r.filter((F.size("__selectors") > 0) & F.col("given_target").isNull()).select(*identity, "target_types", "scope_key", F.size("__selectors").alias("asked"), F.explode("__selectors").alias("s"))
-    asked = asked.select(*identity, "target_types", "scope_key", "asked", "s.selector", "s.value")
+    r = r.withColumn("__question", F.to_json(F.struct(F.struct("__selectors", "target_types", "scope_key").alias("asked"), *by)))
+    questions = r.filter((F.size("__selectors") > 0) & F.col("given_target").isNull()).select("__question", *by, "target_types", "scope_key", "__selectors").dropDuplicates(["__question"])
+    asked = questions.select("__question", *by, "target_types", "scope_key", F.size("__selectors").alias("asked"), F.explode("__selectors").alias("s"))
+    asked = asked.select("__question", *by, "target_types", "scope_key", "asked", "s.selector", "s.value")
     hits = asked.join(selector_keys(entities, by).withColumnRenamed("owner_key", "__owner"), [*by, "selector", "value"])
     scoped = (F.col("canonical_type") != "remote_command_parameter") | F.col("scope_key").isNull() | F.col("__owner").eqNullSafe(F.col("scope_key"))
     typed_hit = F.array_contains("target_types", F.col("canonical_type")) & (F.col("special").isNull() | F.array_contains("target_types", F.col("special")))
-    per = hits.filter(scoped).groupBy(*identity, "key", "asked").agg(F.count_distinct("selector").alias("n"), F.count_distinct(F.when(typed_hit, F.col("selector"))).alias("typed"))
-    found = per.filter("n = asked").groupBy(*identity).agg(F.count_if(F.col("typed") == F.col("asked")).alias("nt"), F.count("*").alias("na"), F.array_sort(F.collect_list(F.when(F.col("typed") == F.col("asked"), F.col("key")))).alias("candidates"))
+    per = hits.filter(scoped).groupBy("__question", "key", "asked").agg(F.count_distinct("selector").alias("n"), F.count_distinct(F.when(typed_hit, F.col("selector"))).alias("typed"))
+    found = per.filter("n = asked").groupBy("__question").agg(F.count_if(F.col("typed") == F.col("asked")).alias("nt"), F.count("*").alias("na"), F.array_sort(F.collect_list(F.when(F.col("typed") == F.col("asked"), F.col("key")))).alias("candidates"))
+    out = r.join(found, "__question", "left")
     if validate_budget:
-        total = found.agg(F.sum("nt")).first()[0] or 0
+        total = out.filter(F.col("given_target").isNull()).agg(F.sum("nt")).first()[0] or 0
         if total > CANDIDATE_BUDGET:
             raise ResourceLimitError(f"{total} candidates; the budget is {CANDIDATE_BUDGET}")
-    out = r.join(found, identity, "left")
     nt, na = F.coalesce("nt", F.lit(0)), F.coalesce("na", F.lit(0))
     none_asked, no_types = F.size("__selectors") == 0, F.coalesce(F.size("target_types"), F.lit(0)) <= 0
     state = F.when(F.col("given_target").isNotNull(), RESOLVED).when(none_asked | no_types, UNRESOLVED).when(nt == 1, RESOLVED).when(nt > 1, AMBIGUOUS).otherwise(UNRESOLVED)
@@ -74,7 +76,7 @@ def resolve(references: DataFrame, entities: DataFrame, by: list[str] | None = N
     out = out.withColumn("state", state).withColumn("reason", reason).withColumn("n_candidates", F.when(F.col("state") == AMBIGUOUS, nt).otherwise(0).cast("long"))
     target = F.coalesce("given_target", F.when(F.col("state") == RESOLVED, F.col("candidates")[0]))
     ambiguous = F.when(F.col("state") == AMBIGUOUS, F.col("candidates")).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("target_key", target).withColumn("candidate_keys", ambiguous).drop("__selectors", "nt", "na", "candidates", "given_target")
+    return out.withColumn("target_key", target).withColumn("candidate_keys", ambiguous).drop("__question", "__selectors", "nt", "na", "candidates", "given_target")
 
 
 def diagnostics(relationships: DataFrame) -> DataFrame:

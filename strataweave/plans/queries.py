@@ -76,15 +76,24 @@ def unresolved_ledger(spark, sf):
     return resolve.diagnostics(_event_relationships(spark, sf)).select("owner_key", "code", "reason", "severity")
 
 
-def _name_relationships(spark, sf):
+def _name_relationships(spark, sf, which="true"):
     part = read(spark, sf, "part")
-    refs = part.filter("p_partkey % 7 = 0").select(F.concat(F.lit("r:"), _text("p_partkey")).alias("owner_key"), F.lit("part").alias("role"), F.array(F.lit("part")).alias("target_types"), F.lit(None).cast("string").alias("implementation_id"), F.col("p_name").alias("name"))
+    refs = part.filter(which).select(F.concat(F.lit("r:"), _text("p_partkey")).alias("owner_key"), F.lit("part").alias("role"), F.array(F.lit("part")).alias("target_types"), F.lit(None).cast("string").alias("implementation_id"), F.col("p_name").alias("name"))
     return resolve.resolve(refs, _entities(part, "part", "p_partkey", "p_partkey", "p_name"))
 
 
+def _by_name(relationships):
+    return relationships.select("owner_key", "name", "state", "n_candidates", F.coalesce(F.col("target_key"), F.col("candidate_keys")[0]).alias("first_key"))
+
+
 def resolve_by_name(spark, sf):
-    """Names are shared by many parts: ambiguous, with all candidates kept and sorted."""
-    return _name_relationships(spark, sf).select("owner_key", "name", "state", "n_candidates", F.coalesce(F.col("target_key"), F.col("candidate_keys")[0]).alias("first_key"))
+    """Names are shared by many parts: ambiguous, with all candidates kept and sorted. Its SQL asks for one part in 7."""
+    return _by_name(_name_relationships(spark, sf, "p_partkey % 7 = 0"))
+
+
+def resolve_by_name_all(spark, sf):
+    """The same for every part."""
+    return _by_name(_name_relationships(spark, sf))
 
 
 def resolve_intersect(spark, sf):
@@ -95,16 +104,25 @@ def resolve_intersect(spark, sf):
     return out.select("owner_key", "state", "reason", "target_key")
 
 
-def resolve_scope(spark, sf):
-    """Parameters resolve within their command only: line numbers within orders."""
+def _in_scope(spark, sf, which="true"):
     lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     entities = lines.select(F.concat_ws("/", F.col("l_orderkey"), F.col("l_linenumber")).alias("key"), F.lit("remote_command_parameter").alias("canonical_type"), F.lit(None).cast("string").alias("implementation_id"), _text("l_linenumber").alias("name"), _text("l_orderkey").alias("owner_key"), (F.col("l_orderkey") % 100).alias("bin"))
-    refs = read(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(F.concat(F.lit("o:"), _text("o_orderkey")).alias("owner_key"), F.lit("first").alias("role"), F.array(F.lit("remote_command_parameter")).alias("target_types"), F.lit(None).cast("string").alias("implementation_id"), F.lit("1").alias("name"), _text("o_orderkey").alias("scope_key"), (F.col("o_orderkey") % 100).alias("bin"))
+    refs = read(spark, sf, "orders").filter(which).select(F.concat(F.lit("o:"), _text("o_orderkey")).alias("owner_key"), F.lit("first").alias("role"), F.array(F.lit("remote_command_parameter")).alias("target_types"), F.lit(None).cast("string").alias("implementation_id"), F.lit("1").alias("name"), _text("o_orderkey").alias("scope_key"), (F.col("o_orderkey") % 100).alias("bin"))
     # The scope is part of the join key here, so a common name doesn't meet every command.
     refs, entities = refs.withColumn("scope", F.col("scope_key")).drop("bin"), entities.withColumn("scope", F.col("owner_key")).drop("bin")
     return resolve.resolve(refs, entities, by=["scope"]).select("owner_key", "state", "reason", "target_key")
 
 
+def resolve_scope(spark, sf):
+    """Parameters resolve within their command only: line numbers within orders. Its SQL asks for one order in 10."""
+    return _in_scope(spark, sf, "o_orderkey % 10 = 0")
+
+
+def resolve_scope_all(spark, sf):
+    """The same for every order."""
+    return _in_scope(spark, sf)
+
+
 def adjacency_degree(spark, sf):
     """In and out degree of nations among their region, suppliers and customers."""
     rel = lambda df, owner, ok, target, tk: df.select(F.concat(F.lit(owner + ":"), _text(ok)).alias("owner_key"), F.lit(target).alias("role"), F.lit("RESOLVED").alias("state"), F.concat(F.lit(target + ":"), _text(tk)).alias("target_key"), F.array().cast("array<string>").alias("candidate_keys"))
@@ -226,9 +244,18 @@ def report_text(spark, sf):
     return reports.text_rows(_supplier_changes(spark, sf).withColumn("key", F.col("key").cast("string")))
 
 
+def _broken(named):
+    return named.agg(F.count("*").alias("checked"), F.count_if((F.col("state") == "AMBIGUOUS") != (F.col("n_candidates") >= 2)).alias("broken"))
+
+
 def check_relationships(spark, sf):
     """The rule that a reference is ambiguous just if it has two candidates or more: how many references there are and break it."""
-    return resolve_by_name(spark, sf).agg(F.count("*").alias("checked"), F.count_if((F.col("state") == "AMBIGUOUS") != (F.col("n_candidates") >= 2)).alias("broken"))
+    return _broken(resolve_by_name(spark, sf))
+
+
+def check_relationships_all(spark, sf):
+    """The same over the references of every part."""
+    return _broken(resolve_by_name_all(spark, sf))
 
 
 def _turns(spark, sf):
@@ -318,8 +345,10 @@ ORACLE = {
     "resolution_states": f"SELECT state, reason, count(*) AS n FROM ({_RESOLVE_SQL}) GROUP BY state, reason",
     "unresolved_ledger": f"SELECT owner_key, 'UNRESOLVED_REFERENCE' AS code, reason, 'WARNING' AS severity FROM ({_RESOLVE_SQL}) WHERE state <> 'RESOLVED'",
     "resolve_by_name": "WITH g AS (SELECT p_name, count(*) AS n, min('part:' || p_partkey) AS k FROM part GROUP BY p_name) SELECT 'r:' || p.p_partkey AS owner_key, p.p_name AS name, CASE WHEN g.n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS state, CAST(CASE WHEN g.n = 1 THEN 0 ELSE g.n END AS BIGINT) AS n_candidates, g.k AS first_key FROM part p JOIN g ON p.p_name = g.p_name WHERE p.p_partkey % 7 = 0",
+    "resolve_by_name_all": "WITH g AS (SELECT p_name, count(*) AS n, min('part:' || p_partkey) AS k FROM part GROUP BY p_name) SELECT 'r:' || p.p_partkey AS owner_key, p.p_name AS name, CASE WHEN g.n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS state, CAST(CASE WHEN g.n = 1 THEN 0 ELSE g.n END AS BIGINT) AS n_candidates, g.k AS first_key FROM part p JOIN g ON p.p_name = g.p_name",
     "resolve_intersect": "SELECT 'r:' || p.p_partkey AS owner_key, CASE WHEN q.p_partkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state, CASE WHEN q.p_partkey IS NULL THEN 'NOT_FOUND' END AS reason, 'part:' || q.p_partkey AS target_key FROM part p LEFT JOIN part q ON q.p_partkey = p.p_partkey - p.p_partkey % 3 AND q.p_name = p.p_name",
     "resolve_scope": "SELECT 'o:' || o_orderkey AS owner_key, CASE WHEN l.l_orderkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state, CASE WHEN l.l_orderkey IS NULL THEN 'NOT_FOUND' END AS reason, l.l_orderkey || '/1' AS target_key FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1) l ON l.l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0",
+    "resolve_scope_all": "SELECT 'o:' || o_orderkey AS owner_key, CASE WHEN l.l_orderkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state, CASE WHEN l.l_orderkey IS NULL THEN 'NOT_FOUND' END AS reason, l.l_orderkey || '/1' AS target_key FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1) l ON l.l_orderkey = o_orderkey",
     "adjacency_degree": "SELECT 'nation:' || n_nationkey AS key, CAST((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS BIGINT) AS n_in, CAST(1 AS BIGINT) AS n_out FROM nation",
     "dep_referenced_by": "SELECT l_partkey AS subject, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_partkey",
     "dep_linked_report": "SELECT o_custkey AS subject, count(DISTINCT l_partkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey",
@@ -345,6 +374,7 @@ ORACLE = {
     "report_html": _CHANGES + """SELECT CAST(key AS VARCHAR) AS key, field, '<tr><td>SV_' || kind || '</td><td>status_variable ' || key || '</td><td>' || field || '</td><td>' || replace(coalesce(before, '—'), '&', '&amp;') || '</td><td>' || replace(coalesce(after, '—'), '&', '&amp;') || '</td></tr>' AS html FROM k""",
     "report_text": _CHANGES + """SELECT CAST(key AS VARCHAR) AS key, field, category || '  ' || kind || '  status_variable ' || key || '.' || field || ': ' || coalesce('"' || before || '"', 'none') || ' -> ' || coalesce('"' || after || '"', 'none') AS line FROM k""",
     "check_relationships": "SELECT count(*) AS checked, CAST(0 AS BIGINT) AS broken FROM part WHERE p_partkey % 7 = 0",
+    "check_relationships_all": "SELECT count(*) AS checked, CAST(0 AS BIGINT) AS broken FROM part",
     "diff_multiset": _TURNS + "SELECT conv_id, coalesce(string_agg(CASE WHEN d > 0 THEN rtrim(repeat(role || ',', CAST(d AS BIGINT)), ',') END, ',' ORDER BY role), '') AS added, coalesce(string_agg(CASE WHEN d < 0 THEN rtrim(repeat(role || ',', CAST(-d AS BIGINT)), ',') END, ',' ORDER BY role), '') AS removed FROM d GROUP BY conv_id",
     "diff_order": _TURNS + "SELECT conv_id, coalesce(list_sort(a) = list_sort(b) AND a <> b, false) AS order_changed, (a IS NULL OR b IS NULL) AS presence_changed FROM l",
     "certain_add_remove": """WITH u AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'old' ELSE 'new' END AS side, 'supplier' AS canonical_type, CASE WHEN s_suppkey = 3 THEN 0 ELSE 1 END AS sure FROM supplier UNION ALL SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'old' ELSE 'new' END, 'nation', 1 FROM nation),
