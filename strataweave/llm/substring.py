@@ -1,12 +1,17 @@
-"""Substring dedup by content-defined chunking.
+"""Substring dedup by winnowed anchors that are extended to the exact ends of a repetition.
 
-A gear hash rolls over the UTF-8 bytes of each text (its 16-bit state forgets all but the last 16 bytes); a chunk ends where the top
-bits of the state are zero, between MIN_CHUNK and MAX_CHUNK bytes, never within a character. As cuts depend on the bytes just before
-them, an insertion moves only the chunks around it. Chunks are deduplicated by 128-bit digest: the smallest document that has one
-keeps it. Consecutive chunks that a document shares with a smaller one form spans; those of `min_chars` characters and
-more are reported.
+Every run of GRAM characters has a 64-bit hash; a run is an anchor if its hash is the smallest of some `min_chars` - GRAM + 1
+consecutive ones. That choice depends on those characters only, so two documents that share `min_chars` characters share an anchor
+among them. Anchors are deduplicated by hash: the smallest document that has one keeps it. Neighbouring anchors that lie alike in a document
+and in its smaller one, with equal text between them, form a run; each run is extended left and right by the characters that
+both texts share, up to CONTEXT on either side. Runs that overlap or touch are one span; those of `min_chars` characters and more are reported.
 
-Defined results: null and empty texts have no chunks; repetitions within one document are left alone; repeated rows with one
+What is left to chance: of a passage whose outer anchors were all seen in other, smaller documents, more than CONTEXT characters deep, the
+ends are those of what these documents share.
+
+`gear` and `cuts` cut texts into content-defined chunks; spans no longer use them.
+
+Defined results: null and empty texts have no anchors; repetitions within one document are left alone; repeated rows with one
 id count as one document; rows with a null id take no part.
 """
 
@@ -15,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table
@@ -24,8 +29,11 @@ MIN_CHUNK = 28
 MAX_CHUNK = 160
 ZERO_BITS = 4
 MIN_CHARS = 100
+GRAM = 32
+CONTEXT = 256
 
 _GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 2**16, 256, np.uint16)
+_M = 0x9E3779B97F4A7C15
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -62,42 +70,108 @@ def cuts(raw: bytes) -> list[int]:
     return out
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, seq, start, length, d1, d2): offsets in characters, digest in two longs."""
+def gram_of(min_chars: int) -> int:
+    """Characters of an anchor: a power of two, GRAM at most."""
+    return 1 << (max(1, min(GRAM, min_chars)).bit_length() - 1)
+
+
+def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
+    """f over every n consecutive values, by doubling."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x = f(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def anchors(points: np.ndarray, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and hashes of the anchors of a text, given as code points."""
+    n = gram_of(min_chars)
+    window = max(1, min_chars - n + 1)
+    if len(points) < n + window - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h, step = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(_M), 1
+    while step < n:
+        h = h[:-step] * np.uint64(pow(_M, step, 2**64)) + h[step:]
+        step *= 2
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    edge = np.zeros(window - 1, np.uint64)
+    # A hash is the smallest of some window just if it equals the largest of the minima of the windows around it.
+    at = np.flatnonzero(h == _slide(np.concatenate((edge, _slide(h, window, np.minimum), edge)), window, np.maximum))
+    return at, h[at]
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text <> ''")
+
+
+def anchored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, seq, pos, gram, gap): each anchor's offset in characters, its hash, and that of the text since the anchor before."""
     prepare(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text <> ''")
 
     def scan(batches):
         for b in batches:
-            ids, seq, start, length, digest = [], [], [], [], []
+            ids, seq, pos, gram, gap = [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                ends = cuts(raw)
-                chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
-                edge = chars[np.array([0, *ends])]
-                at = 0
-                for e in ends:
-                    digest.append(xxhash.xxh3_128_digest(raw[at:e]))
-                    at = e
-                ids.append(np.full(len(ends), doc_id, np.int64))
-                seq.append(np.arange(len(ends), dtype=np.int32))
-                start.append(edge[:-1].astype(np.int64))
-                length.append(np.diff(edge).astype(np.int32))
-            d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                raw = text.as_py().encode("utf-32-le")
+                at, h = anchors(np.frombuffer(raw, np.uint32), min_chars)
+                begin = 0
+                for end in (4 * at).tolist():
+                    gap.append(xxhash.xxh3_64_intdigest(raw[begin:end]) & 0x7FFFFFFF)
+                    begin = end
+                ids.append(np.full(len(at), doc_id, np.int64))
+                seq.append(np.arange(len(at), dtype=np.int32))
+                pos.append(at)
+                gram.append(h.view(np.int64))
             cat = lambda x, t: pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))
-            yield pa.RecordBatch.from_arrays([cat(ids, np.int64), cat(seq, np.int32), cat(start, np.int64), cat(length, np.int32), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], ["doc_id", "seq", "start", "length", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([cat(ids, np.int64), cat(seq, np.int32), cat(pos, np.int32), cat(gram, np.int64), pa.array(gap, pa.int32())], ["doc_id", "seq", "pos", "gram", "gap"])
+
+    return _source(docs, id_col, text_col).mapInArrow(scan, "doc_id long, seq int, pos int, gram long, gap int")
+
+
+def shared(a: Column, b: Column) -> Column:
+    """How many leading characters two contexts of at most CONTEXT share, by halving steps."""
+    n = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(CONTEXT.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, k: at + F.when((at + k <= n) & (F.substring(a, at + 1, k) == F.substring(b, at + 1, k)), k).otherwise(F.lit(0)))
+
 
-    return source.mapInArrow(scan, "doc_id long, seq int, start long, length int, d1 long, d2 long")
+def _extended(runs: DataFrame, source: DataFrame) -> DataFrame:
+    """(doc_id, run, start, end): runs with their ends moved outwards as far as both texts agree."""
+    side = lambda left: runs.select("doc_id", "run", F.lit(left).alias("left"), F.col("start" if left else "end").alias("at"), "first_doc_id", (F.col("start") - F.col("start_shift") if left else F.col("end") - F.col("end_shift")).alias("first_at"))
+    edges = table(side(True).unionByName(side(False)), "edges")
+    wanted = edges.select("doc_id", "at", "left").unionByName(edges.select(F.col("first_doc_id").alias("doc_id"), F.col("first_at").alias("at"), "left")).distinct()
+    before = F.substring("text", F.greatest(F.col("at") - CONTEXT, F.lit(0)) + 1, F.least("at", F.lit(CONTEXT)))
+    seen = table(wanted.join(source, "doc_id").select("doc_id", "at", "left", F.when(F.col("left"), F.reverse(before)).otherwise(F.substring("text", F.col("at") + 1, F.lit(CONTEXT))).alias("text")), "contexts")
+    both = edges.join(seen.withColumnRenamed("text", "a"), ["doc_id", "at", "left"])
+    both = both.join(seen.select(F.col("doc_id").alias("first_doc_id"), F.col("at").alias("first_at"), "left", F.col("text").alias("b")), ["first_doc_id", "first_at", "left"])
+    moved = both.select("doc_id", "run", "left", "at", shared(F.col("a"), F.col("b")).alias("more"))
+    return moved.groupBy("doc_id", "run").agg(F.max(F.when(F.col("left"), F.col("at") - F.col("more"))).alias("start"), F.min(F.when(~F.col("left"), F.col("at") + F.col("more"))).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, start, end, n_chunks, first_doc_id): spans that a smaller document has too, offsets in characters."""
-    all_chunks = table(chunks(docs, id_col, text_col), "chunks")
-    shared = all_chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).filter("last > first_doc_id").drop("last")
-    # A document's copies of a chunk at other places than the shared one are shared as well; the first document keeps all of its own.
-    hit = all_chunks.join(shared, ["d1", "d2"]).filter("doc_id > first_doc_id").select("doc_id", "seq", "start", "length", "first_doc_id").distinct()
-    run = hit.withColumn("run", F.col("seq") - F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")))
-    spans = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
+    """(doc_id, start, end, n_chunks, first_doc_id): spans that a smaller document has too, offsets in characters; n_chunks counts anchors."""
+    n = gram_of(min_chars)
+    all_anchors = table(anchored(docs, id_col, text_col, min_chars), "anchors")
+    first = all_anchors.groupBy("gram").agg(F.min(F.struct("doc_id", "pos", "gap")).alias("f"), F.max("doc_id").alias("last")).filter("last > f.doc_id")
+    first = first.select("gram", F.col("f.doc_id").alias("first_doc_id"), F.col("f.pos").alias("first_pos"), F.col("f.gap").alias("first_gap"))
+    # A document's copies of an anchor at other places than the shared one are shared as well; the first document keeps all of its own.
+    hit = all_anchors.join(first, "gram").filter("doc_id > first_doc_id")
+    hit = hit.select("doc_id", "seq", "pos", "gram", "first_doc_id", (F.col("pos") - F.col("first_pos")).alias("shift"), (F.col("gap") == F.col("first_gap")).alias("same")).distinct()
+    order = Window.partitionBy("doc_id").orderBy("seq", "pos")
+    last = lambda c: F.lag(c).over(order)
+    follows = F.col("same") & (last("shift") == F.col("shift")) | (last("gram") == F.col("gram")) & (F.col("pos") - last("pos") <= n)
+    follows = follows & (last("seq") == F.col("seq") - 1) & (last("first_doc_id") == F.col("first_doc_id"))
+    run = hit.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    runs = run.groupBy("doc_id", "run", "first_doc_id").agg(F.min("pos").alias("start"), (F.max("pos") + n).alias("end"), F.min_by("shift", "pos").alias("start_shift"), F.max_by("shift", "pos").alias("end_shift"), F.count("*").alias("n_chunks"))
+    runs = table(runs, "runs")
+    spans = _extended(runs, _source(docs, id_col, text_col)).join(runs.select("doc_id", "run", "first_doc_id", "n_chunks"), ["doc_id", "run"])
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "run")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(F.col("start") <= reached, 0).otherwise(1)).withColumn("span", F.sum("new").over(order))
+    spans = spans.groupBy("doc_id", "span").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("n_chunks").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"))
     return spans.filter(F.col("end") - F.col("start") >= min_chars).select("doc_id", "start", "end", "n_chunks", "first_doc_id")
 
 
