@@ -1,14 +1,15 @@
 """I-Match document fingerprints.
 
 Terms are lower-cased runs of letters and digits. The lexicon holds the terms whose document share lies in [LOW, HIGH] (an
-inverse-document-frequency band, document frequencies counted over the whole corpus). As shares of all documents sum to
+inverse-document-frequency band, document frequencies counted over the whole corpus; a text whose copies are more than a HEAVY share
+of the rows, and in a small corpus HEAVY_ROWS or a twentieth of the rows, counts once, so that it alone takes no term out of the band). As shares of all documents sum to
 the mean number of distinct terms, the lexicon has at most (mean distinct terms) / LOW entries, however large the
 corpus; that bound allows its broadcast. A fingerprint hashes the sorted distinct lexicon terms of a text, and those
 within SUBSETS randomised lexicon subsets at each of several keep rates (so that for short and long texts alike some
 subsets hold a few terms, the regime in which a hash survives an edit).
 
-Defined results: null texts count as empty; a text without lexicon terms is fingerprinted by its whole content; equal
-texts have equal fingerprints; repeated ids are ordered by text.
+Defined results: null texts count as empty; a text without lexicon terms is fingerprinted by its whole content and the
+same subsets of the terms it has, one without terms by its content alone; equal texts have equal fingerprints; repeated ids are ordered by text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import partitions, prepare
 LOW = 0.0005
 HIGH = 0.2
 LEAST_DOCS = 2
+HEAVY = 0.01
+HEAVY_ROWS = 10
 RATES = (2, 4, 6, 8)  # a subset keeps a term with chance 2**-rate
 SUBSETS = 16
 FEW = 4
@@ -57,35 +60,61 @@ def terms(text: str | None) -> np.ndarray:
     return np.unique(h) if (h[1:] == h[:-1]).any() else h
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df) over all documents; counts are summed within each batch before they leave Python."""
+def _hashed(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+
+
+def heavy_copies(docs: DataFrame, n: int, text_col: str = "text") -> dict:
+    """(h1, h2) -> rows, of the texts that count once; 1 / HEAVY at most."""
+    groups = _hashed(docs, text_col).filter("text <> ''").groupBy("h1", "h2").count()
+    return {(g.h1, g.h2): g["count"] for g in groups.filter(F.col("count") > max(LEAST_DOCS, HEAVY * n, min(HEAVY_ROWS, n / 20))).collect()}
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "text", heavy: dict | None = None) -> DataFrame:
+    """(term, df) over all documents, those of a heavy text together one; counts are summed within each batch before they leave Python."""
+    heavy = heavy or {}
 
     def scan(batches):
         for b in batches:
-            sets = [terms(t.as_py()) for t in b.column(0)]
+            sets, copied = [], {}
+            for t, *h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if (h := tuple(h)) in heavy:
+                    copied[h] = (t, copied[h][1] + 1 if h in copied else 1)
+                else:
+                    sets.append(terms(t.as_py()))
             keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["term", "n"])
+            parts = [(keys, n)] + [(k := terms(t.as_py()), np.full(len(k), c / heavy[h])) for h, (t, c) in copied.items()]
+            for k, n in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.float32))], ["term", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(scan, "term long, n int").groupBy("term").agg(F.sum("n").alias("df"))
+    return _hashed(docs, text_col).mapInArrow(scan, "term long, n float").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("df"))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> np.ndarray:
     """The sorted term hashes in the band; see the module for the bound on their number."""
     prepare(docs.sparkSession)
     n = docs.count()
-    band = document_frequencies(docs, text_col).filter((F.col("df") >= max(LEAST_DOCS, low * n)) & (F.col("df") <= max(LEAST_DOCS, high * n)))
+    heavy = heavy_copies(docs, n, text_col)
+    n -= sum(heavy.values()) - len(heavy)
+    band = document_frequencies(docs, text_col, heavy).filter((F.col("df") >= max(LEAST_DOCS, low * n)) & (F.col("df") <= max(LEAST_DOCS, high * n)))
     return np.sort(np.array([r.term for r in band.select("term").collect()], np.int64).view(np.uint64))
 
 
 class Fingerprinter:
     def __init__(self, lex: np.ndarray):
         self.lex = lex
+        self.rows, self.cols = self.members(lex), None
+
+    @staticmethod
+    def members(lex: np.ndarray) -> np.ndarray:
+        """The subsets of each term, as bits."""
         keep = np.empty((len(lex), _N), bool)
         for j in range(_N):
             mixed = (lex ^ _SEED[j]) * np.uint64(0x9E3779B97F4A7C15)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             keep[:, j] = (mixed >> np.uint64(64 - RATES[j // SUBSETS])) == 0
-        self.rows, self.cols = np.packbits(keep, axis=1), None
+        return np.packbits(keep, axis=1)
 
     def __call__(self, text: str | None) -> str:
         found = terms(text)
@@ -95,13 +124,17 @@ class Fingerprinter:
             at = at[self.lex[at] == found]
         else:
             at = np.zeros(0, np.int64)
-        if not len(at):
-            return "whole:" + hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest()
-        mine = self.lex[at]
-        whole = xxhash.xxh3_64_hexdigest(mine.tobytes())
+        if len(at):
+            mine, rows = self.lex[at], self.rows[at]
+            whole = xxhash.xxh3_64_hexdigest(mine.tobytes())
+        else:
+            whole = hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest()
+            if not len(found):
+                return "whole:" + whole
+            mine, rows = found, self.members(found)
         # The terms of all subsets in one run of bytes, subset by subset, each in order.
-        member = np.ascontiguousarray(np.unpackbits(self.rows[at], axis=1, count=_N).T).view(bool)
-        run = memoryview(mine[np.flatnonzero(member) % len(at)].tobytes())
+        member = np.ascontiguousarray(np.unpackbits(rows, axis=1, count=_N).T).view(bool)
+        run = memoryview(mine[np.flatnonzero(member) % len(mine)].tobytes())
         ends = (np.cumsum(np.count_nonzero(member, axis=1)) * 8).tolist()
         out, begin = bytearray(3 * _N), 0
         for j, end in enumerate(ends):
