@@ -3,7 +3,8 @@
 The corpus is a contingency table of token weights over source, language and topic. Its cells are raked to target marginals: in turn,
 each marginal's cells are scaled to its targets until all hold. A document's weight is its cell's fitted over its actual tokens, and
 documents are sampled by calibrated probabilities min(1, s * weight), s chosen so that the expected tokens are the `budget` share of the
-corpus. The draw hashes the id, so it repeats.
+corpus. The draw hashes the id, so it repeats. Where s * weight exceeds 1 a document can't be chosen often enough, and the chosen miss the
+targets; `copies` draws such documents several times, so that the expected tokens meet both the targets and the budget.
 
 Tables of up to DRIVER_CELLS cells, counted first, are raked on the driver; larger ones by aggregations and joins.
 
@@ -148,3 +149,9 @@ def weigh(docs: DataFrame, names: tuple[str, ...] = MARGINALS, tokens_col: str =
 def drawn(id_col: str, seed: int = SEED) -> Column:
     """A number in [0, 1) for each id."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def copies(weight: Column, id_col: str, budget: float = BUDGET, seed: int = SEED) -> Column:
+    """How often to take a document: budget * weight in expectation, which meets the raked marginals."""
+    wanted = F.coalesce(weight, F.lit(1.0)) * budget
+    return (F.floor(wanted) + (drawn(id_col, seed) < wanted - F.floor(wanted)).cast("long")).cast("long")

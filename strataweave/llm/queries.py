@@ -66,7 +66,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.tokens(F.col("text")).alias("tokens"))
-    return mixing.weigh(docs).withColumn("selected", mixing.drawn("doc_id") < F.col("probability"))
+    return mixing.weigh(docs).withColumn("selected", mixing.drawn("doc_id") < F.col("probability")).withColumn("copies", mixing.copies(F.col("weight"), "doc_id"))
 
 
 def queries() -> dict:
