@@ -5,10 +5,10 @@ Every representative has a signature of TREES * DEPTH minima; tree t orders docu
 its own part. Documents that share a tree's first DEPTH minima form a region. In each region the documents link to its smallest
 member; regions of more than REGION members are cut again at greater depths, so that each document also meets the smallest
 of those it shares the longest common prefixes with. Candidates whose signatures agree by less than the threshold minus
-MARGIN go (a pair at the threshold is lost so with a chance below 1e-8); the others are confirmed on their full shingle
+MARGIN go (a pair at the threshold is lost so with a chance of 8.0e-7); the others are confirmed on their full shingle
 sets. Components of confirmed links follow. Regions that still hold several components are then compared block by
 block, signature against signature and then set against set, across components only; tasks emit no more than a spanning forest
-of the links they confirm. So a link is lost only if its two documents share no region in any tree: (1 - 0.8**4)**28 = 1.4e-11 at the threshold.
+of the links they confirm. So a link is lost only if its two documents share no region in any tree: (1 - 0.8**4)**28 = 3.9e-7 at the threshold.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; repeated rows share a class; rows with a
 null id are returned unlinked, with a null component; any other columns are ignored.
