@@ -15,9 +15,11 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +47,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """Ids of a text by a `tokenizers` file that drops white space, with memory of the chunks between ASCII white space.
+    """Ids of texts by a `tokenizers` file that drops white space, one look at each distinct chunk between ASCII white space in a batch.
 
     No id reaches across white space, so a text's ids are those of its chunks in turn. Plain chunks go through the file's own split rule
-    and its BPE model word by word; all others go through the whole tokenizer.
+    and its BPE model word by word; all others go through the whole tokenizer. The first LIMIT chunks and words met are remembered, and
+    those are the frequent ones; a full memory is kept.
     """
 
     LIMIT = 300_000
@@ -57,43 +60,45 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.whole.model._resize_cache(0)  # chunks and stems are the memory here
+        self.spell = self.whole.model.tokenize
         self.letters = _byte_letters()
-        self.stems: dict[str, bytes] = {}
-        self.chunks = _Chunks(self)
+        self.stems = _Memory(self.stem, self.LIMIT)
+        self.chunks = _Memory(self.chunk, self.LIMIT)
 
     def stem(self, w: str) -> bytes:
-        ids = self.stems.get(w)
-        if ids is None:
-            if len(self.stems) >= self.LIMIT:
-                self.stems.clear()
-            spelled = "".join(map(self.letters.__getitem__, w.encode()))
-            ids = self.stems[w] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return ids
+        spelled = w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
+        return array("I", [t.id for t in self.spell(spelled)]).tobytes()
 
     def chunk(self, raw: bytes) -> bytes:
+        if raw.isalpha():  # ASCII letters: one word
+            return self.stems[raw.decode().lower()]
         s = raw.decode("utf-8", "replace")
         if _PLAIN.fullmatch(s) and "<|" not in s:
-            return b"".join(map(self.stem, _SPLIT.findall(s.lower())))
-        return np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+            return b"".join(map(self.stems.__getitem__, _SPLIT.findall(s.lower())))
+        return array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids, without the closing one."""
-        return b"".join(map(self.chunks.__getitem__, text.encode("utf-8", "replace").split())) if text else b""
+    def ids(self, texts: pa.Array) -> pa.Array:
+        """Little-endian unsigned 32-bit ids of each text, without the closing one; a null text counts as empty."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        flat = words.flatten().dictionary_encode()
+        distinct = flat.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        found = pa.array(map(self.chunks.__getitem__, distinct), pa.large_binary())
+        return pc.binary_join(pa.ListArray.from_arrays(words.offsets, found.take(flat.indices)), pa.scalar(b"", pa.large_binary()))
 
 
-class _Chunks(dict):
-    def __init__(self, owner: WordTokenizer):
+class _Memory(dict):
+    """Values of make by key; the first `limit` short keys are kept."""
+
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.owner = owner
+        self.make, self.limit = make, limit
 
-    def __missing__(self, raw: bytes) -> bytes:
-        if len(self) >= WordTokenizer.LIMIT:
-            self.clear()
-        ids = self.owner.chunk(raw)
-        if len(raw) <= 64:
-            self[raw] = ids
-        return ids
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.limit and len(key) <= 64:
+            self[key] = value
+        return value
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -114,11 +119,11 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         part = TaskContext.get().partitionId()
         tok, seen = tokenizer(path), {}
-        end = np.array([END_ID], "<u4").tobytes()
+        end = array("I", [END_ID]).tobytes()
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = tok.ids(text.as_py()) + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), tok.ids(b.column(1)), strict=True):
+                ids = ids.as_py() + end
                 total = len(ids) // 4
                 for at in range(0, total, length):
                     own = ids[4 * at : 4 * (at + length)]
