@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 from .common import drop_table, table
 
 
-def _least_neighbour(sym: DataFrame) -> DataFrame:
-    return sym.groupBy("u").agg(F.min("v").alias("m"))
-
-
 def _round(edges: DataFrame) -> DataFrame:
     """edges: (u, v) with u > v. Returns the same kind after a large-star and a small-star step."""
     sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least_neighbour(sym).withColumn("m", F.least("u", "m"))
+    least = sym.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
     large = sym.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
     small = large.groupBy("u").agg(F.min("v").alias("m"))
     moved = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -46,4 +42,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = table(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    drop_table(now)
+    return out

@@ -5,32 +5,40 @@ Every representative has a signature of TREES * DEPTH minima; tree t orders docu
 its own part. Documents that share a tree's first DEPTH minima form a region. In each region the documents link to its smallest
 member; regions of more than REGION members are cut again at greater depths, so that each document also meets the smallest
 of those it shares the longest common prefixes with. Candidates whose signatures agree by less than the threshold minus
-MARGIN go (a pair at the threshold is lost so with a chance of 8.0e-7); the others are confirmed on their full shingle
+MARGIN go (`lost_to_margin` bounds the chance for a pair at the threshold); the others are confirmed on their full shingle
 sets. Components of confirmed links follow. Regions that still hold several components are then compared block by
 block, signature against signature and then set against set, across components only; tasks emit no more than a spanning forest
-of the links they confirm. So a link is lost only if its two documents share no region in any tree: (1 - 0.8**4)**28 = 3.9e-7 at the threshold.
+of the links they confirm. So a link is lost only if its two documents share no region in any tree (`lost_to_forest`).
 
-Defined results: null, empty and wordless texts have the empty set and link with nothing; repeated rows share a class; rows with a
-null id are returned unlinked, with a null component; any other columns are ignored.
+Hot regions and centres: what has more than a thousandth of the rows is joined by broadcast, which at most a thousand keys can need; a
+centre's text goes once to every SPREAD of its members; blocks of a region are compared in tasks of their own.
+
+Defined results: null, empty and wordless texts have the empty set and link with nothing; repeated rows share a class; rows that
+share an id but not a text are documents of their own; rows with a null id are returned unlinked, with a null component; any other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, prepare, table
+from .common import drop_table, key_join, prepare, table, thinned
 from .components import components
 
 TREES = 28
 DEPTH = 4
 DEEPER = (8, 16, 32)
 REGION = 8
-MARGIN = 0.2
+MARGIN = 0.25
 BLOCK = 1024
+SPREAD = 512
+AT_ONCE = 2048
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,11 +89,15 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(s: np.ndarray, seeds) -> np.ndarray:
+    """The minima of all hash functions: of small sets in one go, of large ones function by function."""
     mult, xor = seeds
-    out = np.empty(len(mult), np.uint32)
-    for i in range(len(mult)):
-        out[i] = (((s ^ xor[i]) * mult[i]).min()) >> np.uint64(32)
-    return out
+    if len(s) > AT_ONCE:
+        least = np.array([((s ^ x) * m).min() for m, x in zip(mult, xor, strict=True)], np.uint64)
+    else:
+        h = s ^ xor[:, None]
+        h *= mult[:, None]
+        least = h.min(axis=1)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def _same(x: np.ndarray, y: np.ndarray) -> int:
@@ -97,8 +109,25 @@ def _same(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def lost_to_forest(similarity: float = 0.8) -> float:
+    """The chance that a pair shares no region in any tree."""
+    return (1 - similarity**DEPTH) ** TREES
+
+
+def lost_to_margin(similarity: float = 0.8) -> float:
+    """The chance that the signatures of a pair at the threshold agree in too few places: a binomial tail."""
+    n = TREES * DEPTH
+    most = math.ceil((similarity - MARGIN) * n) - 1
+    return sum(math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(most + 1))
+
+
+def text_hash(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig) for every row."""
+    """(doc_id, text_hash, n_shingles, digest, sig) for every row of (doc_id, text, text_hash)."""
 
     def scan(batches):
         seeds = _seeds(TREES * DEPTH)
@@ -109,13 +138,28 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s, seeds).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "sig"])
 
-    return docs.mapInArrow(scan, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
+
+
+def _representatives(signed: DataFrame) -> DataFrame:
+    """(digest, copies, node, doc_id, text_hash, sig): one row for every distinct set. A node is its smallest id, or a hash where an id
+    stands for several sets."""
+    full = signed.filter("doc_id is not null and n_shingles > 0")
+    reps = full.groupBy("digest").agg(F.count("*").alias("copies"), F.min_by(F.struct("doc_id", "text_hash", "sig"), F.struct("doc_id", "text_hash")).alias("r"))
+    reps = table(reps.select("digest", "copies", F.col("r.doc_id").alias("node"), "r.*"), "reps")
+    clash = reps.groupBy("doc_id").agg(F.count("*").alias("sets")).filter("sets > 1").select("doc_id")
+    if clash.isEmpty():
+        return reps
+    apart = reps.join(clash.withColumn("clash", F.lit(True)), "doc_id", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("doc_id", "digest")).otherwise(F.col("doc_id")))
+    out = table(apart.select(*reps.columns), "reps")
+    drop_table(reps)
+    return out
 
 
 def _regions(sigs: DataFrame, depth: int) -> DataFrame:
-    """(key, doc_id): the region of every document in every tree at a depth; the key's last five bits are the tree."""
+    """(key, node): the region of every document in every tree at a depth; the key's last five bits are the tree."""
 
     def scan(batches):
         turn = (np.arange(TREES)[:, None] * DEPTH + np.arange(depth)[None, :]) % (TREES * DEPTH)
@@ -128,15 +172,26 @@ def _regions(sigs: DataFrame, depth: int) -> DataFrame:
                     acc = _mix(acc * _M + m[:, i])
                 key[:, t] = acc >> np.uint64(5) << np.uint64(5) | np.uint64(t)
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "node"])
+
+    return sigs.select("node", "sig").mapInArrow(scan, "key long, node long")
 
-    return sigs.select("doc_id", "sig").mapInArrow(scan, "key long, doc_id long")
+
+def _members(sigs: DataFrame, depth: int, n: int) -> DataFrame:
+    """(key, node, a, n): the members of the regions of two documents and more, with the region's smallest and its size."""
+    base = table(_regions(sigs, depth), "regions")
+    stats = base.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    stats = table(stats, "stats")
+    out = table(key_join(base, stats, "key", "n", n * TREES), "members")
+    drop_table(base, stats)
+    return out
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree in at least that share of places."""
-    s = sigs.select("doc_id", "sig")
-    both = pairs.join(s.withColumnsRenamed({"doc_id": "b", "sig": "sb"}), "b").join(s.withColumnsRenamed({"doc_id": "a", "sig": "sa"}), "a").select("a", "b", "sa", "sb")
+    s = sigs.select("node", "sig")
+    centres = pairs.groupBy("a").agg(F.count("*").alias("n")).join(s.withColumnsRenamed({"node": "a", "sig": "sa"}), "a")
+    both = key_join(pairs, centres, "a", "n", pairs.count()).join(s.withColumnsRenamed({"node": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
 
     def scan(batches):
         for b in batches:
@@ -147,41 +202,55 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(scan, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union. Texts travel only for documents in a pair."""
-    texts = docs.filter("doc_id is not null and text is not null")
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb")
+def _texts(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in `wanted`; no other texts are shuffled but those a bitmap takes for one of them."""
+    nodes = table(wanted.select("node").distinct().join(reps.select("node", "doc_id", "text_hash"), "node"), "wanted")
+    marked, may = thinned(docs, ["doc_id", "text_hash"], nodes, nodes.count())
+    out = table(marked.filter(may).select("doc_id", "text_hash", "text").join(nodes, ["doc_id", "text_hash"]).select("node", "text"), "texts")
+    drop_table(nodes)
+    return out
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= percent * union. Members stream past their centre, SPREAD to a task."""
+    per = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    salts = F.ceil(F.col("n") / SPREAD).cast("int")
+    members = key_join(pairs, per, "a", "n", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int"))
+    members = members.select("a", "salt", "b").join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+    centres = texts.withColumnRenamed("node", "a").join(per, "a").select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
 
     def scan(batches):
-        last, x = None, None
-        for b in batches:
-            ok = []
-            for i, (ta, tb) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                a = b.column(0)[i].as_py()
-                if a != last or x is None:
-                    last, x = a, shingles(ta.as_py(), words)
-                y = shingles(tb.as_py(), words)
+        at, x = None, None
+        for batch in batches:
+            out = []
+            for a, salt, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if b is None:
+                    if at != (a, salt):
+                        at, x = (a, salt), shingles(text.as_py(), words)
+                    continue
+                y = shingles(text.as_py(), words)
                 same = _same(x, y) if len(x) and len(y) else 0
-                ok.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+                if same and 100 * same >= percent * (len(x) + len(y) - same):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(scan, "a long, b long").distinct()
+    dealt = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
 def _crossing(rows: DataFrame, least: float, words: int, percent: int) -> DataFrame:
-    """rows: (key, doc_id, label, sig, text), the documents of regions. Confirmed links across labels, cut down in each pair of blocks to
-    a spanning forest, so that a region gives no more rows than it has documents and blocks. A pair is looked at in the first
-    tree that brings it together only.
+    """rows: (key, n, node, label, sig, text), the documents of regions of n. Confirmed links across labels, cut down in each pair of
+    blocks to a spanning forest, so that a region gives no more rows than it has documents and blocks. A pair is looked at in the
+    first tree that brings it together only.
     """
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     # Block i meets block j <= i: each row goes to the tasks of its own row and column of the triangle.
-    dealt = cut.select("key", "doc_id", "label", "sig", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = cut.select("key", "node", "label", "sig", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("hi", F.greatest("block", "other")).withColumn("lo", F.least("block", "other"))
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, label, block = (t.column(c).to_numpy() for c in ("doc_id", "label", "block"))
+        ids, label, block = (t.column(c).to_numpy() for c in ("node", "label", "block"))
         m = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, TREES * DEPTH)
         tree, hi, lo = t.column("key")[0].as_py() & 31, t.column("hi")[0].as_py(), t.column("lo")[0].as_py()
         left, right = np.flatnonzero(block == hi), np.flatnonzero(block == lo)
@@ -217,48 +286,62 @@ def _crossing(rows: DataFrame, least: float, words: int, percent: int) -> DataFr
     return dealt.repartition("key", "hi", "lo").groupBy("key", "hi", "lo").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _classes(reps: DataFrame, label: DataFrame) -> DataFrame:
+    """(digest, copies, component_id): the smallest id reachable from each distinct set."""
+    found = reps.join(label, "node", "left").select("digest", "copies", "node", "doc_id", F.coalesce("component", "node").alias("component"))
+    if reps.filter("node <> doc_id").isEmpty():
+        return found.select("digest", "copies", F.col("component").alias("component_id"))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("digest", "copies", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: component_id is the smallest id reachable over confirmed links."""
+    """(doc_id, n_shingles, component_id, text_hash) for every row: component_id is the smallest id reachable over confirmed links."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", text_hash(F.col("text")))
     least = percent / 100 - MARGIN
     signed = table(_signed(docs, words), "signed")
-    full = signed.filter("doc_id is not null and n_shingles > 0")
-    reps = table(full.groupBy("digest").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r")).select("digest", "r.*"), "reps")
+    reps = _representatives(signed)
+    n = reps.count()
 
-    base = table(_regions(reps, DEPTH), "regions")
-    stats = base.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    stats = table(stats, "stats")
-    star = lambda rows, s: rows.join(s, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    pairs = star(base, stats)
-    deep, dense = reps, stats.filter(F.col("n") > REGION)
-    rows = base
+    made = [first := _members(reps, DEPTH, n)]
+    deep, rows, pairs = reps, first, first.filter("node <> a").select("a", F.col("node").alias("b"))
     for depth in DEEPER:
-        deep = table(deep.join(rows.join(dense.select("key"), "key", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi"), "dense")
+        dense = rows.filter(F.col("n") > REGION).select("node").distinct()
+        deep = table(deep.select("node", "sig").join(dense, "node", "left_semi"), "dense")
+        made.append(deep)
         if deep.isEmpty():
             break
-        rows = table(_regions(deep, depth), "regions")
-        sizes = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-        pairs = pairs.unionByName(star(rows, sizes))
-        dense = sizes.filter(F.col("n") > REGION)
-    near = table(_alike(pairs.distinct(), reps, least), "near")
-    links = table(_confirmed(near, docs, words, percent), "links")
-    label = table(components(links), "labels")
+        rows = _members(deep, depth, deep.count())
+        made.append(rows)
+        pairs = pairs.unionByName(rows.filter("node <> a").select("a", F.col("node").alias("b")))
+    pairs = table(pairs.distinct(), "pairs")
+    near = table(_alike(pairs, reps, least), "near")
+    texts = _texts(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), reps, docs)
+    links = table(_confirmed(near, texts, words, percent), "links")
+    label = components(links)
+    made += [pairs, near, texts, links, label]
 
     # Regions of three and more that still hold several components: compare across them.
-    labelled = lambda lab: base.join(stats.filter("n > 2").select("key"), "key", "left_semi").join(lab.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    member = table(labelled(label), "members")
-    split = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    texts = docs.filter("doc_id is not null and text is not null")
-    rest = member.join(split, "key", "left_semi").join(reps.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
-    more = table(_crossing(rest, least, words, percent), "crossing")
-    if not more.isEmpty():
-        links = table(links.unionByName(more), "links")
-        label = table(components(links), "labels")
-    for t in (base, stats, member, near, more):
-        drop_table(t)
-
-    classes = reps.select("digest", F.col("doc_id").alias("rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    member = first.filter("n > 2").join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    member = table(member, "labelled")
+    split = table(member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("w")).filter("x <> y").select("key", "w"), "split")
+    made += [member, split]
+    if not split.isEmpty():
+        rest = table(key_join(member, split, "key", "w", member.count()).drop("w"), "rest")
+        texts = _texts(rest, reps, docs)
+        more = table(_crossing(rest.join(reps.select("node", "sig"), "node").join(texts, "node"), least, words, percent), "crossing")
+        made += [rest, texts, more]
+        if not more.isEmpty():
+            links = table(links.unionByName(more), "links")
+            label = components(links)
+            made += [links, label]
+
+    classes = table(_classes(reps, label), "classes")
+    known = key_join(signed.filter("doc_id is not null and digest is not null"), classes, "digest", "copies", signed.count())
+    alone = signed.filter("doc_id is null or digest is null").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", "component_id", "text_hash"]
+    out = table(known.select(*columns).unionByName(alone.select(*columns)), "near_duplicates")
+    drop_table(signed, reps, classes, *made)
+    return out

@@ -223,8 +223,8 @@ def test_near_duplicates_crossing_blocks(spark):
             w[rng.randrange(len(w))] = f"e{rng.random()}"
         rows.append((i, " ".join(w)))
     seeds = minhash._seeds(minhash.TREES * minhash.DEPTH)
-    data = [(0, i, i, minhash.signature(minhash.shingles(t, 4), seeds).tobytes(), t) for i, t in rows]
-    df = spark.createDataFrame(data, "key long, doc_id long, label long, sig binary, text string")
+    data = [(0, len(rows), i, i, minhash.signature(minhash.shingles(t, 4), seeds).tobytes(), t) for i, t in rows]
+    df = spark.createDataFrame(data, "key long, n long, node long, label long, sig binary, text string")
     got = {r.node: r.component for r in components(minhash._crossing(df, 0.6, 4, 80)).collect()}
     want = {i: c for i, (_, c) in brute_components(rows, 4, 80).items()}
     assert {i: got.get(i, i) for i in want} == want
@@ -331,12 +331,12 @@ def test_chunks_tile_texts_and_follow_content():
     rng = random.Random(8)
     text = " ".join(words(rng, 3000, 10**6)) + "é" * 900
     raw = text.encode()
-    ends = substring.cuts(raw)
+    ends = substring.cuts(raw).tolist()
     assert ends[-1] == len(raw) and all(b - a <= substring.MAX_CHUNK for a, b in zip([0, *ends], ends, strict=False))
     for e in ends:
         raw[:e].decode()
     shifted = (b"inserted words " + raw)[:]
-    moved = {e - 15 for e in substring.cuts(shifted)}
+    moved = {e - 15 for e in substring.cuts(shifted).tolist()}
     assert len(moved & set(ends)) > 0.95 * len(ends)
     h = 0
     for i, byte in enumerate(raw[:400]):
