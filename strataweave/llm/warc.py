@@ -7,8 +7,14 @@ Payloads may hold the magic as well; pointer jumping from offset 0 of each file
 in round k every known record adds the one 2**k records on. Within a segment of a file these rounds run in one task's memory; between
 segments they run as joins, so a file of n segments takes log2(n) of those, and a file of one segment none.
 
+Equal payloads are found on their keys alone (SHA-1, SHA-256 and length). A bitmap of the keys that stand in several rows tells which
+payloads must meet their group's first record; only those are shuffled. The other payloads are written where they were read, and
+revisits need none.
+
 Defined results: null html is an empty payload; equal payloads of `least_bytes` and more become revisits of the smallest id;
-rows that repeat an id with an equal payload are responses both; an empty table gives empty archives and no records.
+rows that repeat an id with an equal payload are responses both; a revisit names its response by id and digest, so an id may stand
+for several payloads; a null id is kept, sorts after all others and is never referred to; other columns are ignored; an empty
+table gives empty archives and no records.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, drop_table, prepare, table
+from .common import drop_table, key_join, prepare, table, thinned
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -31,56 +37,40 @@ _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
 LEAST_BYTES = 0
 #: Bytes of a file whose candidates one task holds: at most a tenth as many, of two integers each.
 SEGMENT = 64 << 20
-#: Of the compression of payloads on their way to their group.
-LEVEL = 6
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, url, payload, n, sha, refers_to): which rows are responses, which revisit another."""
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, list[DataFrame]]:
+    """(page_id, url, payload, n, sha, refers_to), which rows are responses, which revisit another (without a payload); and the
+    tables this reads, to be dropped when it is written."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
-    first = rows.groupBy("sha", "n").agg(F.min("page_id").alias("first")).filter(F.col("n") >= least_bytes)
-    # Payloads travel to their group compressed; a revisit's needn't be unpacked.
-    joined = _squeezed(rows).join(first, ["sha", "n"], "left").withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first")))
-    return _unpacked(joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "n", "sha", "refers_to"))
-
-
-def _squeezed(rows: DataFrame) -> DataFrame:
-    prepare(rows.sparkSession)
-
-    def scan(batches):
-        codec = pa.Codec("zstd", compression_level=LEVEL)
-        for b in batches:
-            packed = pa.array([codec.compress(v.as_buffer(), asbytes=True) for v in b.column("payload")], pa.binary())
-            yield b.set_column(b.schema.get_field_index("payload"), "payload", packed)
-
-    return rows.withColumn("payload", F.col("payload").cast("binary")).mapInArrow(scan, "page_id long, url string, payload binary, n long, sha string")
-
-
-def _unpacked(rows: DataFrame) -> DataFrame:
-    """Undoes _squeezed, in batches of about BATCH_BYTES of payload; a null payload is an empty one."""
-
-    def scan(batches):
-        codec = pa.Codec("zstd")
-        for b in batches:
-            ends = np.cumsum(b.column("n").to_numpy()) // BATCH_BYTES
-            edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                part = b.slice(lo, hi - lo)
-                sizes = part.column("n").to_pylist()
-                raw = pa.array([codec.decompress(v.as_buffer(), n, asbytes=True) if v.is_valid and n else b"" for v, n in zip(part.column("payload"), sizes, strict=True)], pa.binary())
-                yield part.set_column(part.schema.get_field_index("payload"), "payload", raw)
-
-    return rows.mapInArrow(scan, "page_id long, url string, payload binary, n long, sha string, refers_to long").withColumn("payload", F.col("payload").cast("string"))
+    raw = F.col("payload").cast("binary")
+    rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1(raw)).withColumn("key", F.unhex(F.sha2(raw, 256)))
+    keys = table(rows.drop("payload"), "keys")
+    groups = keys.filter(F.col("n") >= least_bytes).groupBy("sha", "key", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("rows"))
+    groups = table(groups.filter("rows > 1"), "groups")
+    several = groups.count()
+    # A group's response is found by key and id, so its copies lie in as many tasks as they have ids.
+    keyed, hit = thinned(keys, ["key"], groups, several)
+    firsts = keyed.filter(hit).groupBy("sha", "key", "n").agg(F.min("page_id").alias("first"))
+    columns = ["page_id", "url", "payload", "n", "sha"]
+    marked, may = thinned(rows, ["key"], groups, several)
+    may = may & (F.col("n") >= least_bytes)
+    maybe = marked.filter(may).select(*columns, "key")
+    same = (maybe["sha"] == firsts["sha"]) & (maybe["key"] == firsts["key"]) & (maybe["n"] == firsts["n"]) & maybe["page_id"].eqNullSafe(firsts["first"])
+    responses = marked.filter(~may).select(*columns).unionByName(maybe.join(firsts, same, "left_semi").select(*columns))
+    copies = key_join(keys, groups.withColumnsRenamed({"sha": "sha_", "n": "n_"}), "key", "rows", keys.count())
+    copies = copies.filter((F.col("sha") == F.col("sha_")) & (F.col("n") == F.col("n_")) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
+    revisits = copies.select("page_id", "url", F.lit("").alias("payload"), "n", "sha", F.col("first").alias("refers_to"))
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits), [keys, groups]
 
 
 def write(pages: DataFrame, path: str, **columns) -> None:
     """Write the rows as WARC files under path."""
-    rows = plan_records(pages, **columns)
+    rows, made = plan_records(pages, **columns)
     nl = "\r\n"
     alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
     # Base32 of the 160-bit digest: letter i is place i % 4 of the four base-32 digits in the i // 4-th group of five hex digits.
@@ -93,7 +83,7 @@ def write(pages: DataFrame, path: str, **columns) -> None:
     head = F.concat(
         F.lit(MAGIC),
         F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit(nl),
-        F.lit("WARC-Record-ID: "), name(F.coalesce(F.col("page_id"), F.lit(-1))), F.lit(nl),
+        F.lit("WARC-Record-ID: "), name(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.lit(nl),
         F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", " "), F.lit(nl),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z" + nl),
         F.lit("WARC-Payload-Digest: sha1:"), b32, F.lit(nl),
@@ -101,6 +91,7 @@ def write(pages: DataFrame, path: str, **columns) -> None:
         F.lit("Content-Type: text/html" + nl + "Content-Length: "), F.octet_length(body).cast("string"), F.lit(END),
     )
     rows.select(F.concat(head, body).alias("value")).write.option("lineSep", END).text(path)
+    drop_table(*made)
 
 
 def _scanned(spark: SparkSession, path: str) -> DataFrame:
@@ -211,6 +202,11 @@ def _offsets(scanned: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(file, off, record_type, record_id, refers_to, stated_digest, payload_bytes, payload_digest) of every true record."""
+    return _read(spark, path)[0]
+
+
+def _read(spark: SparkSession, path: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The records, and the tables they are read from."""
     scanned = table(_scanned(spark, path), "scanned")
     pieces = table(_offsets(scanned).withColumn("succ", F.when(F.col("length") >= 0, F.col("off") + len(MAGIC) + F.col("head") + F.col("length") + len(END))), "pieces")
     drop_table(scanned)
@@ -241,7 +237,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
         shas = payload.select("file", "off", "parts", "head", "length").mapInArrow(rejoin, "file string, off long, sha string")
         whole = whole.unionByName(broken.drop("sha").join(shas, ["file", "off"]).select(*whole.columns))
-    return whole.select("file", "off", F.col("kind").alias("record_type"), F.col("id").alias("record_id"), F.col("refers").alias("refers_to"), F.col("stated").alias("stated_digest"), F.col("length").alias("payload_bytes"), F.col("sha").alias("payload_digest"))
+    found = whole.select("file", "off", F.col("kind").alias("record_type"), F.col("id").alias("record_id"), F.col("refers").alias("refers_to"), F.col("stated").alias("stated_digest"), F.col("length").alias("payload_bytes"), F.col("sha").alias("payload_digest"))
+    return found, [pieces, chain, records]
 
 
 def _numbered(batches):
@@ -257,14 +254,20 @@ def _numbered(batches):
 
 
 def page_of(name: Column) -> Column:
-    return F.regexp_extract(name, r"^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    number = F.regexp_extract(name, r"^<urn:page:(-?[0-9]+)>$", 1)
+    return F.when(number != "", number).cast("long")
 
 
 def round_trip(pages: DataFrame, path: str, **columns) -> DataFrame:
     """Write, read back, and resolve revisits: the full payload's size and digest of every page."""
     write(pages, path, **columns)
-    got = read(pages.sparkSession, path).select(page_of(F.col("record_id")).alias("page_id"), "record_type", page_of(F.col("refers_to")).alias("refers_to"), "payload_bytes", "payload_digest")
-    got = table(got, "records")
-    full = got.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct(F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("sha"))).alias("full"))
-    again = got.filter("refers_to is not null").join(full, "refers_to", "left").select("page_id", F.col("full.n").alias("payload_bytes"), F.col("full.sha").alias("payload_digest"), "record_type", "refers_to")
-    return got.filter("refers_to is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(again)
+    got, made = _read(pages.sparkSession, path)
+    stated = F.regexp_replace("stated_digest", "^sha1:", "")
+    got = table(got.select(page_of(F.col("record_id")).alias("page_id"), "record_type", page_of(F.col("refers_to")).alias("refers_to"), stated.alias("stated"), "payload_bytes", "payload_digest"), "records")
+    drop_table(*made)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = got.filter("refers_to is not null").select("page_id", "record_type", "refers_to", F.struct("refers_to", "stated").alias("of"))
+    full = got.filter("record_type = 'response'").groupBy(F.struct(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated")).alias("of")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    asked = revisits.groupBy("of").agg(F.count("*").alias("rows")).join(full, "of").withColumn("payload_digest", F.col("of.stated"))
+    again = key_join(revisits, asked, "of", "rows", revisits.count())
+    return got.filter("refers_to is null").select(*columns).unionByName(again.select(*columns))
