@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, fingerprint, langid, line_dedup, minhash, mixing, packing, pii, substring, warc
-from .common import new_path, read
+from .common import drop_path, new_path, read
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -36,7 +36,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.drop("text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(read(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    path = new_path(spark, "warc")
+    got = warc.round_trip(read(spark, sf_dir, "pages"), path)
+    drop_path(spark, path)  # the result no longer reads the archives
+    return got
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +76,10 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_pii, op2_nearest, op3_line_dedup, op4_near_dedup, op5_language, op6_fingerprint, op7_substring, op8_packing, op9_warc, op10_mixing)}
 
 
-_OP3_SQL = f"""
+_OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 total AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-seen AS (SELECT source, x, count(*) AS pages FROM (SELECT source, unnest(list_distinct(lines)) AS x FROM d) WHERE trim(x) <> '' GROUP BY source, x),
+seen AS (SELECT source, x, count(*) AS pages FROM (SELECT source, unnest(list_distinct(lines)) AS x FROM d) WHERE regexp_matches(x, '[^ \t\n\x0B\f\r]') GROUP BY source, x),
 bad AS (SELECT s.source, list(s.x) AS xs FROM seen s JOIN total t ON s.source = t.source WHERE s.pages >= {line_dedup.MIN_PAGES} AND s.pages > {line_dedup.RATIO} * t.n GROUP BY s.source),
 kept AS (SELECT d.doc_id, d.text, d.lines, CASE WHEN bad.xs IS NULL THEN d.lines ELSE list_filter(d.lines, lambda x: NOT list_contains(bad.xs, x)) END AS k FROM d LEFT JOIN bad ON d.source = bad.source)
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(k, chr(10)) END AS text,
