@@ -6,10 +6,12 @@ documents are sampled by calibrated probabilities min(1, s * weight), s chosen s
 corpus. The draw hashes the id, so it repeats. Where s * weight exceeds 1 a document can't be chosen often enough, and the chosen miss the
 targets; `copies` draws such documents several times, so that the expected tokens meet both the targets and the budget.
 
-Tables of up to DRIVER_CELLS cells, counted first, are raked on the driver; larger ones by aggregations and joins.
+Tables of up to DRIVER_CELLS cells, counted first, are raked on the driver; larger ones by aggregations and joins, with the same steps
+and the same rules to stop, so that the two differ by rounding only.
 
 Defined results: null categories form a category of their own; null texts weigh nothing; cells without tokens get weight 1;
-an empty table gives an empty one; rows that repeat an id share its draw.
+an empty table gives an empty one; rows that repeat an id share its draw; weight and probability take the place of columns with
+their names, other columns are returned as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ SMOOTHING = 0.7
 BUDGET = 0.75
 ROUNDS = 200
 EXACT = 1e-9
-STEADY = 1e-6  # of the distributed form: no cell's weight moved by more in a round
+HALVINGS = 60
 DRIVER_CELLS = 200_000
 SEED = 17
 CHARS_A_TOKEN = 4
@@ -70,7 +72,7 @@ def calibrated(ratio: np.ndarray, weights: np.ndarray, budget: float) -> np.ndar
     if not total or not len(positive) or budget >= 1:
         return np.ones_like(ratio)
     low, high = 0.0, 1.0 / positive.min()
-    for _ in range(200):
+    for _ in range(HALVINGS):
         s = (low + high) / 2
         low, high = (s, high) if (weights * np.minimum(1, s * ratio)).sum() < budget * total else (low, s)
     return np.minimum(1, high * ratio)
@@ -105,30 +107,34 @@ def _fit_distributed(cells: DataFrame, names: tuple[str, ...], targets: dict, bu
     total = cells.agg(F.sum("actual")).first()[0] or 0.0
     wanted = {}
     for name in names:
-        t = cells.groupBy(F.col(name).alias("c")).agg(F.sum("actual").alias("n")).filter("n > 0")
+        t = cells.groupBy(F.col(name).alias("c")).agg(F.sum("actual").alias("n"))
         if targets.get(name) is None:
-            t = t.withColumn("share", F.pow("n", F.lit(SMOOTHING)))
+            share = F.when(F.col("n") > 0, F.pow("n", F.lit(SMOOTHING))).otherwise(0.0)
         else:
-            asked = spark.createDataFrame([(k, float(v)) for k, v in targets[name].items()], f"k {cells.schema[name].dataType.simpleString()}, share double")
-            t = t.join(asked, F.expr("c <=> k"), "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-        norm = t.agg(F.sum("share")).first()[0] or 1.0
-        wanted[name] = table(t.select("c", (F.col("share") / norm * total).alias("want")), "targets")
-    now = table(cells.withColumn("w", F.col("actual")), "raked")
-    for _ in range(ROUNDS):
-        step = now.withColumn("last", F.col("w"))
+            asked = spark.createDataFrame([(k, float(v)) for k, v in targets[name].items()], f"k {cells.schema[name].dataType.simpleString()}, asked double")
+            t = t.join(asked, F.expr("c <=> k"), "left")
+            share = F.when(F.col("n") > 0, F.coalesce("asked", F.lit(0.0))).otherwise(0.0)
+        t = table(t.select("c", share.alias("share")), "targets")
+        wanted[name] = t.withColumn("share", F.col("share") / (t.agg(F.sum("share")).first()[0] or 1.0))
+    now = cells.withColumn("w", F.col("actual"))
+    for _ in range(ROUNDS if total else 0):
+        off = 0.0
         for name in names:
-            have = step.groupBy(F.col(name).alias("c")).agg(F.sum("w").alias("have")).filter("have > 0")
-            factor = have.join(wanted[name], F.expr("have is not null") & have["c"].eqNullSafe(wanted[name]["c"])).select(have["c"], (F.col("want") / F.col("have")).alias("f"))
-            step = step.join(factor, step[name].eqNullSafe(factor["c"]), "left").withColumn("w", F.col("w") * F.coalesce("f", F.lit(1.0))).drop("c", "f")
-        new = table(step, "raked")
-        drop_table(now)
-        now = new.drop("last")
-        now._strataweave_path = new._strataweave_path
-        if (new.agg(F.max(F.abs(F.col("w") - F.col("last")))).first()[0] or 0.0) <= STEADY * max(total, 1.0) / 1000:
+            have = now.groupBy(F.col(name).alias("h")).agg(F.sum("w").alias("have")).join(wanted[name], F.expr("h <=> c"))
+            have = table(have.select("c", "have", "share"), "have")
+            off = max(off, have.agg(F.max(F.abs(F.col("have") / total - F.col("share")))).first()[0])
+            factor = have.select(F.col("c").alias("__c"), F.when(F.col("have") > 0, F.col("share") * total / F.col("have")).otherwise(1.0).alias("__f"))
+            new = table(now.join(factor, now[name].eqNullSafe(factor["__c"])).select(*names, "actual", (F.col("w") * F.col("__f")).alias("w")), "raked")
+            drop_table(now, have)
+            now = new
+        if off < EXACT:
             break
     fit = now.withColumn("weight", F.when(F.col("actual") > 0, F.col("w") / F.col("actual")).otherwise(1.0))
-    low, high = 0.0, 1.0 / (fit.filter("weight > 0 and actual > 0").agg(F.min("weight")).first()[0] or 1.0)
-    for _ in range(40):
+    least = fit.filter("weight > 0 and actual > 0").agg(F.min("weight")).first()[0]
+    if not total or least is None or budget >= 1:
+        return fit.select(*names, "weight", F.lit(1.0).alias("probability"))
+    low, high = 0.0, 1.0 / least
+    for _ in range(HALVINGS):
         s = (low + high) / 2
         kept = fit.agg(F.sum(F.col("actual") * F.least(F.lit(1.0), F.col("weight") * s))).first()[0] or 0.0
         low, high = (s, high) if kept < budget * total else (low, s)
@@ -143,7 +149,8 @@ def weigh(docs: DataFrame, names: tuple[str, ...] = MARGINALS, tokens_col: str =
     fit = (_fit_on_driver if small else _fit_distributed)(cells, names, targets or {}, budget)
     fit = fit.withColumnsRenamed({n: f"__{n}" for n in names} | {"weight": "__weight", "probability": "__probability"})
     on = [docs[n].eqNullSafe(fit[f"__{n}"]) for n in names]
-    return docs.join(F.broadcast(fit) if small else fit, on, "left").select(*docs.columns, F.col("__weight").alias("weight"), F.col("__probability").alias("probability"))
+    kept = [docs[c] for c in docs.columns if c not in ("weight", "probability")]
+    return docs.join(F.broadcast(fit) if small else fit, on, "left").select(*kept, fit["__weight"].alias("weight"), fit["__probability"].alias("probability"))
 
 
 def drawn(id_col: str, seed: int = SEED) -> Column:
