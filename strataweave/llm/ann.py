@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, prepare, table
 
-TABLES = 2
+TABLES = 3
 PROBED = 7 / 16
 #: The completing coordinate makes angles wider, so banded queries probe this many times the share.
 BANDED = 2
