@@ -44,14 +44,14 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """Word -> 64-bit hash; forgets all when it grows too large."""
+    """Word -> 64-bit hash; the first LIMIT words are kept, the frequent ones among them."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        h = xxhash.xxh3_64_intdigest(w)
+        if len(self) < self.LIMIT:
+            self[w] = h
         return h
 
 
@@ -305,8 +305,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = _representatives(signed)
     n = reps.count()
 
-    made = [first := _members(reps, DEPTH, n)]
-    deep, rows, pairs = reps, first, first.filter("node <> a").select("a", F.col("node").alias("b"))
+    first = _members(reps, DEPTH, n)
+    deep, rows, pairs, made = reps, first, first.filter("node <> a").select("a", F.col("node").alias("b")), []
     for depth in DEEPER:
         dense = rows.filter(F.col("n") > REGION).select("node").distinct()
         deep = table(deep.select("node", "sig").join(dense, "node", "left_semi"), "dense")
@@ -317,31 +317,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         made.append(rows)
         pairs = pairs.unionByName(rows.filter("node <> a").select("a", F.col("node").alias("b")))
     pairs = table(pairs.distinct(), "pairs")
+    drop_table(*made)
     near = table(_alike(pairs, reps, least), "near")
+    drop_table(pairs)
     texts = _texts(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), reps, docs)
     links = table(_confirmed(near, texts, words, percent), "links")
+    drop_table(near, texts)
     label = components(links)
-    made += [pairs, near, texts, links, label]
 
     # Regions of three and more that still hold several components: compare across them.
     member = first.filter("n > 2").join(label, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
     member = table(member, "labelled")
+    drop_table(first)
     split = table(member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("w")).filter("x <> y").select("key", "w"), "split")
-    made += [member, split]
     if not split.isEmpty():
         rest = table(key_join(member, split, "key", "w", member.count()).drop("w"), "rest")
+        drop_table(member)
         texts = _texts(rest, reps, docs)
         more = table(_crossing(rest.join(reps.select("node", "sig"), "node").join(texts, "node"), least, words, percent), "crossing")
-        made += [rest, texts, more]
+        drop_table(rest, texts)
         if not more.isEmpty():
-            links = table(links.unionByName(more), "links")
-            label = components(links)
-            made += [links, label]
+            drop_table(label)
+            label = components(links.unionByName(more))
+        drop_table(more)
+    drop_table(member, split, links)
 
     classes = table(_classes(reps, label), "classes")
     known = key_join(signed.filter("doc_id is not null and digest is not null"), classes, "digest", "copies", signed.count())
     alone = signed.filter("doc_id is null or digest is null").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "component_id", "text_hash"]
     out = table(known.select(*columns).unionByName(alone.select(*columns)), "near_duplicates")
-    drop_table(signed, reps, classes, *made)
+    drop_table(signed, reps, classes, label)
     return out
