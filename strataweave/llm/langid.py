@@ -7,7 +7,8 @@ of normalised presence vectors, landmarks and coefficients fold into one (n-gram
 are scored in batches by a product of their presence rows with it.
 
 Defined results: null texts and texts without a letter give `und` with score 0; ties go to the smaller language name; without
-any labelled row every text gives `und`; repeated rows are scored each for themselves.
+any labelled row every text gives `und`; repeated rows are scored each for themselves; columns that are kept give way to lang_pred and
+score if they have these names.
 """
 
 from __future__ import annotations
@@ -160,6 +161,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id, keep..., lang_pred, score) for every row; one narrow pass. The model (bounded by the sample) is broadcast."""
     spark = docs.sparkSession
     prepare(spark)
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     shared = spark.sparkContext.broadcast((model.languages, model.keys, model.weights))
     source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col), *keep)
 
