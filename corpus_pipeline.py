@@ -1,4 +1,10 @@
-"""A training-corpus pipeline: five stages, each one operator, each written as Parquet and read back as the next one's documents."""
+"""A training-corpus pipeline: five stages, each one operator, each written as Parquet and read back as the next one's documents.
+
+Defined results: language ID drops texts that are null, empty or without a letter, so later stages see none from documents, but take them
+(line dedup can empty a text; an empty text is no near duplicate, weighs nothing in mixing and is one closing token in packing);
+null languages are filled, null sources are one source; a null id is kept throughout; rows equal in id and text become one; documents may
+have other columns, which are ignored; an empty table passes all stages.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.llm import langid, line_dedup, minhash, mixing, packing
-from strataweave.llm.common import read, table
+from strataweave.llm.common import read, table, thinned
 from strataweave.llm.queries import tokenizer_path, training_rows
 
 #: Language ID rejects texts without letters and those whose best one-versus-rest value is below this.
@@ -36,13 +42,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of every group of near duplicates (five-word shingles, similarity 0.8).
 
-    Rows that repeat an id are copies, of which one stays; rows with a null id are in no group and all stay.
+    Of rows that share id and text one stays, the least of them; rows that share an id only are documents of their own; rows with a null
+    id are in no group and all stay.
     """
-    docs = _documents(docs)
-    found = minhash.near_duplicates(docs)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return _documents(kept.unionByName(docs.filter("doc_id is null")))
+    on = ["doc_id", "text_hash"]
+    docs = _documents(docs).withColumn("text_hash", minhash.text_hash(F.col("text")))
+    found = minhash.near_duplicates(docs).filter("doc_id is not null")
+    gone = found.filter("doc_id <> component_id").select(*on).distinct()
+    # Rows that no bitmap takes for a lost one stay where they are.
+    marked, may = thinned(docs, on, gone, gone.count())
+    kept = marked.filter(~may).select(*COLUMNS, "text_hash").unionByName(marked.filter(may).select(*COLUMNS, "text_hash").join(gone, on, "left_anti"))
+    again = table(found.groupBy(*on).agg(F.count("*").alias("n")).filter("n > 1").select(*on), "repeated")
+    if not again.isEmpty():
+        one = kept.join(again, on, "left_semi").groupBy(*on).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*", "text_hash")
+        kept = kept.join(again, on, "left_anti").unionByName(one)
+    return _documents(kept)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
