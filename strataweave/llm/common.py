@@ -11,7 +11,7 @@ __all__ = ["drop", "drop_path", "drop_table", "key_join", "new_path", "partition
 
 #: Arrow batches handed to Python hold at most this many rows and about this many bytes.
 BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A key with more than a thousandth of the rows, and more than LEAST_HOT, is hot; there are at most HOT such keys, which bounds their broadcast.
 HOT = 1000
 LEAST_HOT = 512

@@ -46,7 +46,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class _Words(dict):
     """Word -> 64-bit hash; the first LIMIT words are kept, the frequent ones among them."""
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(w)
