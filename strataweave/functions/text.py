@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,31 @@ def canonical_json(*columns: str) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
+def json_text(c: Column) -> Column:
+    """The JSON literal of a text; NULL stays NULL."""
+    whole = F.to_json(F.array(c.cast("string")))
+    return F.when(c.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
+
+
+def json_object(**members: Column) -> Column:
+    """Canonical JSON of members that are JSON texts already, by name; NULL becomes null."""
+    parts = []
+    for i, (name, value) in enumerate(sorted(members.items())):
+        parts += [F.lit(("," if i else "{") + json.dumps(name) + ":"), F.coalesce(value, F.lit("null"))]
+    return F.concat(*parts, F.lit("}"))
+
+
+def json_list(items: Column) -> Column:
+    """A JSON array of JSON texts; NULL stays NULL."""
+    return F.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+
+
+def json_members(m: Column) -> Column:
+    """Canonical JSON of a map of JSON texts, by key."""
+    pairs = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
 def revision_label(location: Column, pattern: str) -> Column:
     """The first group of pattern in the URL-decoded base name of a location, NULL unless all of the name matches."""
     name = F.url_decode(F.replace(F.substring_index(location, "/", -1), F.lit("+"), F.lit("%2B")))
