@@ -15,6 +15,8 @@ from ..errors import ResourceLimitError
 RESOLVED, AMBIGUOUS, UNRESOLVED = "RESOLVED", "AMBIGUOUS", "UNRESOLVED"
 MISSING_SELECTOR, UNSUPPORTED, NOT_FOUND, WRONG_TYPE = "MISSING_SELECTOR", "UNSUPPORTED", "NOT_FOUND", "WRONG_TYPE"
 CANDIDATE_BUDGET = 250_000
+#: Each selector has a bit; a candidate's bits must be those that were asked for.
+SELECTORS = {"id": 1, "name": 2, "wkn": 4}
 
 
 def with_optional(df: DataFrame, *names: str) -> DataFrame:
@@ -45,38 +47,69 @@ def selector_keys(entities: DataFrame, by: list[str]) -> DataFrame:
     return out
 
 
-def resolve(references: DataFrame, entities: DataFrame, by: list[str] | None = None, validate_budget: bool = False) -> DataFrame:
+def resolve(references: DataFrame, entities: DataFrame, by: list[str] | None = None, validate_budget: bool = False, candidates: bool = True) -> DataFrame:
     """references plus n_candidates, state, reason, target_key and sorted candidate_keys.
 
-    Every given selector must name the candidate (an intersection, counted in one aggregation); the wrong-type probe is another
+    Every given selector must name the candidate (an intersection, taken as bits in one aggregation); the wrong-type probe is another
     aggregate of the same join. References that ask the same are one question, so a name asked by many meets its candidates once.
-    Unreferenced entities cost nothing but the scan.
+    A scope is part of the question's key, so parameters of other commands are never met. Without `candidates` their lists are left out
+    and only the least of them is kept, as first_candidate. Unreferenced entities cost nothing but the scan.
     """
     by = by or []
     r = with_optional(references, "wkn_value", "wkn_authority", "wkn_scope", "scope_key", "target_key").withColumnRenamed("target_key", "given_target")
-    r = r.withColumn("__selectors", F.filter(F.array(F.struct(F.lit("id").alias("selector"), F.col("implementation_id").alias("value")), F.struct(F.lit("name").alias("selector"), F.col("name").alias("value")), F.struct(F.lit("wkn").alias("selector"), _wkn().alias("value"))), lambda s: s["value"].isNotNull()))
+    given = {"id": F.col("implementation_id"), "name": F.col("name"), "wkn": _wkn()}
+    r = r.withColumn("__selectors", F.filter(F.array(*[F.struct(F.lit(k).alias("selector"), F.lit(SELECTORS[k]).alias("bit"), v.alias("value")) for k, v in given.items()]), lambda s: s["value"].isNotNull()))
     r = r.withColumn("__question", F.to_json(F.struct(F.struct("__selectors", "target_types", "scope_key").alias("asked"), *by)))
     questions = r.filter((F.size("__selectors") > 0) & F.col("given_target").isNull()).select("__question", *by, "target_types", "scope_key", "__selectors").dropDuplicates(["__question"])
-    asked = questions.select("__question", *by, "target_types", "scope_key", F.size("__selectors").alias("asked"), F.explode("__selectors").alias("s"))
-    asked = asked.select("__question", *by, "target_types", "scope_key", "asked", "s.selector", "s.value")
-    hits = asked.join(selector_keys(entities, by).withColumnRenamed("owner_key", "__owner"), [*by, "selector", "value"])
-    scoped = (F.col("canonical_type") != "remote_command_parameter") | F.col("scope_key").isNull() | F.col("__owner").eqNullSafe(F.col("scope_key"))
+    mask = F.aggregate("__selectors", F.lit(0), lambda m, s: m + s["bit"])
+    asked = questions.select("__question", *by, "target_types", "scope_key", mask.alias("asked"), F.explode("__selectors").alias("s"))
+    asked = asked.select("__question", *by, "target_types", "scope_key", "asked", "s.selector", "s.bit", "s.value")
+    found = selector_keys(entities, by)
+    if "scope_key" in references.columns:
+        # Places: anywhere (*), outside of commands, within one. A scoped question looks outside and within its command.
+        within = F.concat(F.lit("in "), F.col("scope_key"))
+        asked = asked.withColumn("__place", F.explode(F.when(F.col("scope_key").isNull(), F.array(F.lit("*"))).otherwise(F.array(F.lit("out"), within))))
+        inside = F.when(F.col("canonical_type") == "remote_command_parameter", F.concat(F.lit("in "), F.coalesce("owner_key", F.lit("")))).otherwise("out")
+        hits = asked.join(found.withColumn("__place", F.explode(F.array(F.lit("*"), inside))), [*by, "selector", "value", "__place"])
+    else:
+        hits = asked.join(found, [*by, "selector", "value"])
     typed_hit = F.array_contains("target_types", F.col("canonical_type")) & (F.col("special").isNull() | F.array_contains("target_types", F.col("special")))
-    per = hits.filter(scoped).groupBy("__question", "key", "asked").agg(F.count_distinct("selector").alias("n"), F.count_distinct(F.when(typed_hit, F.col("selector"))).alias("typed"))
-    found = per.filter("n = asked").groupBy("__question").agg(F.count_if(F.col("typed") == F.col("asked")).alias("nt"), F.count("*").alias("na"), F.array_sort(F.collect_list(F.when(F.col("typed") == F.col("asked"), F.col("key")))).alias("candidates"))
+    per = hits.groupBy("__question", "key", "asked").agg(F.bit_or("bit").alias("n"), F.coalesce(F.bit_or(F.when(typed_hit, F.col("bit"))), F.lit(0)).alias("typed"))
+    own = F.when(F.col("typed") == F.col("asked"), F.col("key"))
+    kept = F.array_sort(F.collect_list(own)).alias("candidates") if candidates else F.min(own).alias("first_candidate")
+    found = per.filter("n = asked").groupBy("__question").agg(F.count_if(F.col("typed") == F.col("asked")).alias("nt"), F.count("*").alias("na"), kept)
     out = r.join(found, "__question", "left")
-    if validate_budget:
-        total = out.filter(F.col("given_target").isNull()).agg(F.sum("nt")).first()[0] or 0
-        if total > CANDIDATE_BUDGET:
-            raise ResourceLimitError(f"{total} candidates; the budget is {CANDIDATE_BUDGET}")
     nt, na = F.coalesce("nt", F.lit(0)), F.coalesce("na", F.lit(0))
+    if validate_budget:
+        # Ambiguous references keep their candidates; the budget is one document's.
+        worst = out.filter(F.col("given_target").isNull() & (nt > 1)).groupBy(*by).agg(F.sum("nt").alias("n")).agg(F.max("n")).first()[0] or 0
+        if worst > CANDIDATE_BUDGET:
+            raise ResourceLimitError(f"{worst} candidates; the budget is {CANDIDATE_BUDGET}")
     none_asked, no_types = F.size("__selectors") == 0, F.coalesce(F.size("target_types"), F.lit(0)) <= 0
     state = F.when(F.col("given_target").isNotNull(), RESOLVED).when(none_asked | no_types, UNRESOLVED).when(nt == 1, RESOLVED).when(nt > 1, AMBIGUOUS).otherwise(UNRESOLVED)
-    reason = F.when(F.col("given_target").isNotNull(), None).when(none_asked, MISSING_SELECTOR).when(no_types, UNSUPPORTED).when(nt >= 1, None).when(na > 0, WRONG_TYPE).otherwise(NOT_FOUND)
+    reason = F.when(F.col("given_target").isNotNull(), None).when(none_asked, MISSING_SELECTOR).when(no_types, UNSUPPORTED).when(nt > 1, AMBIGUOUS).when(nt == 1, None).when(na > 0, WRONG_TYPE).otherwise(NOT_FOUND)
     out = out.withColumn("state", state).withColumn("reason", reason).withColumn("n_candidates", F.when(F.col("state") == AMBIGUOUS, nt).otherwise(0).cast("long"))
-    target = F.coalesce("given_target", F.when(F.col("state") == RESOLVED, F.col("candidates")[0]))
-    ambiguous = F.when(F.col("state") == AMBIGUOUS, F.col("candidates")).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("target_key", target).withColumn("candidate_keys", ambiguous).drop("__question", "__selectors", "nt", "na", "candidates", "given_target")
+    first = F.col("candidates")[0] if candidates else F.col("first_candidate")
+    out = out.withColumn("target_key", F.coalesce("given_target", F.when(F.col("state") == RESOLVED, first)))
+    if candidates:
+        out = out.withColumn("candidate_keys", F.when(F.col("state") == AMBIGUOUS, F.col("candidates")).otherwise(F.array().cast("array<string>"))).drop("candidates")
+    return out.drop("__question", "__selectors", "nt", "na", "given_target")
+
+
+def indexes(entities: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, index, canonical_type, value, keys): every value under which entities of a type are known, collisions kept. NULL is no value,
+    the empty text is one. by_stream_function is for lookups only; no reference selects by it.
+    """
+    by = by or []
+    e = with_optional(entities, "designation", "wkn_value", "wkn_authority", "wkn_scope", "stream", "function", "owner_key")
+    named = {
+        "by_type": F.lit(""), "by_native_identifier": F.col("implementation_id"), "by_name": F.col("name"), "by_wkn": _wkn(), "by_standard_designation": F.col("designation"),
+        "by_command_identity": F.when(F.col("canonical_type") == "remote_command", F.col("name")), "by_stream_function": F.to_json(F.when(F.col("stream").isNotNull() & F.col("function").isNotNull(), F.array("stream", "function"))),
+        "parameter_owner_by_key": F.when(F.col("canonical_type") == "remote_command_parameter", F.col("owner_key")),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("index"), v.alias("value")) for k, v in named.items()])
+    rows = e.select(*by, "canonical_type", "key", F.explode(F.filter(rows, lambda r: r["value"].isNotNull())).alias("r"))
+    return rows.groupBy(*by, F.col("r.index").alias("index"), "canonical_type", F.col("r.value").alias("value")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
 
 
 def diagnostics(relationships: DataFrame) -> DataFrame:
@@ -85,8 +118,20 @@ def diagnostics(relationships: DataFrame) -> DataFrame:
     return relationships.filter(F.col("state") != RESOLVED).withColumn("code", code).withColumn("severity", F.lit("WARNING"))
 
 
+def owner_diagnostics(relationships: DataFrame, entities: DataFrame, by: list[str]) -> DataFrame:
+    """diagnostics() with a message, the owner's type, and the reference's place, or the owner's where it has none."""
+    owners = entities.select(*by, F.col("key").alias("owner_key"), F.col("canonical_type").alias("__type"), *[F.col(c).alias(f"__{c}") for c in ("path", "line", "col")])
+    rows = diagnostics(relationships).join(owners, [*by, "owner_key"], "left")
+    message = F.when(F.col("state") == AMBIGUOUS, F.concat(F.lit("reference "), F.col("role"), F.lit(" has "), F.col("n_candidates").cast("string"), F.lit(" possible targets")))
+    message = message.otherwise(F.concat(F.lit("reference "), F.col("role"), F.lit(" has no target: "), F.lower("reason")))
+    place = [F.coalesce(c, f"__{c}").alias(c) for c in ("path", "line", "col")]
+    return rows.select(*by, "code", "severity", message.alias("message"), F.coalesce("__type", F.lit("equipment_interface")).alias("canonical_type"), "owner_key", F.col("role").alias("field"), *place)
+
+
 def violations(relationships: DataFrame) -> DataFrame:
     """Rows against the rules of an outcome; a check query that must be empty."""
-    ok = F.when(F.col("state") == RESOLVED, F.col("target_key").isNotNull() & F.col("reason").isNull())
-    ok = ok.when(F.col("state") == AMBIGUOUS, (F.size("candidate_keys") >= 2) & F.col("target_key").isNull()).otherwise(F.col("reason").isNotNull() & F.col("target_key").isNull())
-    return relationships.filter(~ok)
+    many, target = F.size("candidate_keys"), F.col("target_key").isNotNull()
+    known = F.col("reason").isin(MISSING_SELECTOR, UNSUPPORTED, NOT_FOUND, WRONG_TYPE)
+    ok = F.when(F.col("state") == RESOLVED, target & F.col("reason").isNull() & (many == 0))
+    ok = ok.when(F.col("state") == AMBIGUOUS, (many >= 2) & ~target & F.col("reason").eqNullSafe(F.lit(AMBIGUOUS)) & (F.array_sort(F.array_distinct("candidate_keys")) == F.col("candidate_keys")))
+    return relationships.filter(~F.coalesce(ok.otherwise(F.coalesce(known, F.lit(False)) & ~target & (many == 0)), F.lit(False)))
