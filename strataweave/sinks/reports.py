@@ -8,6 +8,7 @@ table of rows instead (`change_rows(...).write`).
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import tempfile
@@ -68,23 +69,38 @@ def _ordered(rows: DataFrame, column: str, order: Iterable[str]) -> Iterator[str
     return (r[0] for r in rows.orderBy(*order, column).select(column).toLocalIterator())
 
 
+def _inode(path: str) -> tuple | None:
+    try:
+        found = os.stat(path)
+    except OSError:
+        return None
+    return found.st_dev, found.st_ino
+
+
+@contextlib.contextmanager
+def _sibling(target: str):
+    """A temporary file beside the target, gone afterwards unless it took the target's place."""
+    fd, name = tempfile.mkstemp(prefix=".report-", dir=os.path.dirname(target))
+    try:
+        with open(fd, "w", encoding="utf-8", newline="") as f:
+            yield f
+        os.replace(name, target)
+    except BaseException:
+        os.unlink(name)
+        raise
+
+
 def write_atomically(path: str, parts: Iterable[str], inputs: Iterable[str] = ()) -> None:
     """Write a local file whole or not at all. It may be none of the inputs, by any name or link."""
     target = os.path.abspath(path)
-    for i in inputs:
-        if os.path.realpath(i) == os.path.realpath(target) or (os.path.exists(target) and os.path.exists(i) and os.path.samefile(i, target)):
-            raise ReportError(f"{path} is an input")
-    fd, beside = -1, None
+    taken = {x for i in inputs for x in (_inode(i), os.path.realpath(i)) if x}
+    if taken & {_inode(target), os.path.realpath(target)}:
+        raise ReportError(f"{path} is an input")
     try:
-        fd, beside = tempfile.mkstemp(prefix=".report-", dir=os.path.dirname(target))
-        with os.fdopen(fd, "w", encoding="utf-8", newline="") as f:
+        with _sibling(target) as f:
             f.writelines(parts)
-        os.replace(beside, target)
     except OSError as e:
         raise ReportError(f"{path} can't be written: {e.strerror}") from e
-    finally:
-        if beside and os.path.exists(beside):
-            os.unlink(beside)
 
 
 def write_json(changes: DataFrame, path: str, inputs: Iterable[str] = ()) -> None:
