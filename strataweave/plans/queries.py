@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import diff, graph, match, resolve
 from ..sinks import reports
+from ..sources import dictionary, xml
+from . import versions
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,24 +78,12 @@ def unresolved_ledger(spark, sf):
     return resolve.diagnostics(_event_relationships(spark, sf)).select("owner_key", "code", "reason", "severity")
 
 
-def _name_relationships(spark, sf, which="true"):
-    part = read(spark, sf, "part")
-    refs = part.filter(which).select(F.concat(F.lit("r:"), _text("p_partkey")).alias("owner_key"), F.lit("part").alias("role"), F.array(F.lit("part")).alias("target_types"), F.lit(None).cast("string").alias("implementation_id"), F.col("p_name").alias("name"))
-    return resolve.resolve(refs, _entities(part, "part", "p_partkey", "p_partkey", "p_name"))
-
-
-def _by_name(relationships):
-    return relationships.select("owner_key", "name", "state", "n_candidates", F.coalesce(F.col("target_key"), F.col("candidate_keys")[0]).alias("first_key"))
-
-
 def resolve_by_name(spark, sf):
-    """Names are shared by many parts: ambiguous, with all candidates kept and sorted. Its SQL asks for one part in 7."""
-    return _by_name(_name_relationships(spark, sf, "p_partkey % 7 = 0"))
-
-
-def resolve_by_name_all(spark, sf):
-    """The same for every part."""
-    return _by_name(_name_relationships(spark, sf))
+    """Names are shared by many parts: ambiguous, told by the number of candidates and the least of them."""
+    part = read(spark, sf, "part")
+    refs = part.select(F.concat(F.lit("r:"), _text("p_partkey")).alias("owner_key"), F.lit("part").alias("role"), F.array(F.lit("part")).alias("target_types"), F.lit(None).cast("string").alias("implementation_id"), F.col("p_name").alias("name"))
+    found = resolve.resolve(refs, _entities(part, "part", "p_partkey", "p_partkey", "p_name"), candidates=False)
+    return found.select("owner_key", "name", "state", "reason", "n_candidates", F.col("first_candidate").alias("first_key"))
 
 
 def resolve_intersect(spark, sf):
@@ -104,23 +94,12 @@ def resolve_intersect(spark, sf):
     return out.select("owner_key", "state", "reason", "target_key")
 
 
-def _in_scope(spark, sf, which="true"):
-    lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    entities = lines.select(F.concat_ws("/", F.col("l_orderkey"), F.col("l_linenumber")).alias("key"), F.lit("remote_command_parameter").alias("canonical_type"), F.lit(None).cast("string").alias("implementation_id"), _text("l_linenumber").alias("name"), _text("l_orderkey").alias("owner_key"), (F.col("l_orderkey") % 100).alias("bin"))
-    refs = read(spark, sf, "orders").filter(which).select(F.concat(F.lit("o:"), _text("o_orderkey")).alias("owner_key"), F.lit("first").alias("role"), F.array(F.lit("remote_command_parameter")).alias("target_types"), F.lit(None).cast("string").alias("implementation_id"), F.lit("1").alias("name"), _text("o_orderkey").alias("scope_key"), (F.col("o_orderkey") % 100).alias("bin"))
-    # The scope is part of the join key here, so a common name doesn't meet every command.
-    refs, entities = refs.withColumn("scope", F.col("scope_key")).drop("bin"), entities.withColumn("scope", F.col("owner_key")).drop("bin")
-    return resolve.resolve(refs, entities, by=["scope"]).select("owner_key", "state", "reason", "target_key")
-
-
 def resolve_scope(spark, sf):
-    """Parameters resolve within their command only: line numbers within orders. Its SQL asks for one order in 10."""
-    return _in_scope(spark, sf, "o_orderkey % 10 = 0")
-
-
-def resolve_scope_all(spark, sf):
-    """The same for every order."""
-    return _in_scope(spark, sf)
+    """Parameters resolve within their command only: line numbers within orders."""
+    lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    entities = lines.select(F.concat_ws("/", F.col("l_orderkey"), F.col("l_linenumber")).alias("key"), F.lit("remote_command_parameter").alias("canonical_type"), F.lit(None).cast("string").alias("implementation_id"), _text("l_linenumber").alias("name"), _text("l_orderkey").alias("owner_key"))
+    refs = read(spark, sf, "orders").select(F.concat(F.lit("o:"), _text("o_orderkey")).alias("owner_key"), F.lit("first").alias("role"), F.array(F.lit("remote_command_parameter")).alias("target_types"), F.lit(None).cast("string").alias("implementation_id"), F.lit("1").alias("name"), _text("o_orderkey").alias("scope_key"))
+    return resolve.resolve(refs, entities, candidates=False).select("owner_key", "state", "reason", "target_key")
 
 
 def adjacency_degree(spark, sf):
@@ -211,24 +190,11 @@ def diff_properties(spark, sf):
     return _supplier_changes(spark, sf).select("key", "field", "before", "after")
 
 
-def diff_kinds(spark, sf):
-    return _supplier_changes(spark, sf).groupBy("kind", "category").agg(F.count("*").alias("n"))
-
-
 def change_code(spark, sf):
     c = _supplier_changes(spark, sf)
     return c.select(diff.change_code(F.col("canonical_type"), F.col("kind")).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-def report_summary(spark, sf):
-    return diff.summary(_supplier_changes(spark, sf)).drop("is_complete")
-
-
-def completeness(spark, sf):
-    s = diff.summary(_supplier_changes(spark, sf))
-    return s.select("is_complete", (F.col("interface") > 0).alias("has_interface"), (F.col("documentation") > 0).alias("has_documentation"), (F.col("unknown") > 0).alias("has_unknown"))
-
-
 def report_json(spark, sf):
     """Each change as canonical JSON under its public code."""
     return reports.change_rows(_supplier_changes(spark, sf).withColumn("key", F.col("key").cast("string")))
@@ -244,18 +210,15 @@ def report_text(spark, sf):
     return reports.text_rows(_supplier_changes(spark, sf).withColumn("key", F.col("key").cast("string")))
 
 
-def _broken(named):
-    return named.agg(F.count("*").alias("checked"), F.count_if((F.col("state") == "AMBIGUOUS") != (F.col("n_candidates") >= 2)).alias("broken"))
-
-
 def check_relationships(spark, sf):
-    """The rule that a reference is ambiguous just if it has two candidates or more: how many references there are and break it."""
-    return _broken(resolve_by_name(spark, sf))
-
-
-def check_relationships_all(spark, sf):
-    """The same over the references of every part."""
-    return _broken(resolve_by_name_all(spark, sf))
+    """Outcomes that contradict themselves, by their state; some are spoilt on purpose."""
+    part = read(spark, sf, "part")
+    k = F.col("p_partkey")
+    refs = part.select(k, F.concat(F.lit("r:"), _text("p_partkey")).alias("owner_key"), F.lit("part").alias("role"), F.array(F.lit("part")).alias("target_types"), F.when(k % 3 == 0, _text("p_partkey")).otherwise(F.concat(F.lit("no "), _text("p_partkey"))).alias("implementation_id"), F.lit(None).cast("string").alias("name"))
+    found = resolve.resolve(refs, _entities(part, "part", "p_partkey", "p_partkey", "p_name"))
+    spoilt = found.withColumn("target_key", F.when(k % 5 == 0, None).otherwise(F.col("target_key"))).withColumn("reason", F.when(k % 7 == 0, None).otherwise(F.col("reason")))
+    spoilt = spoilt.withColumn("candidate_keys", F.when(k % 11 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.col("candidate_keys")))
+    return resolve.violations(spoilt).groupBy("state").agg(F.count("*").alias("broken"))
 
 
 def _turns(spark, sf):
@@ -281,9 +244,16 @@ def certain_add_remove(spark, sf):
 
 
 def revision_hint(spark, sf):
+    """The label of schema locations: whole, encoded, of another namespace, several, odd, of another name, none."""
     p = read(spark, sf, "pages")
-    location = F.regexp_replace("url", r"\?.*$", "")
-    return p.select("page_id", T.revision_label(location, "([0-9]{4})").alias("label"))
+    year = F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0")
+    name = F.concat(F.lit("E172-"), year, F.lit("-SEDD-Schema.xsd"))
+    kind = F.col("page_id") % 8
+    at = F.when(kind == 0, F.concat(F.lit("urn:a  http://x/y/"), name, F.lit("?q#f"))).when(kind == 1, F.concat(F.lit("\turn:a http://x/y%2F"), F.replace(name, F.lit("-"), F.lit("%2D"))))
+    at = at.when(kind == 2, F.concat(F.lit("urn:b "), name)).when(kind == 3, F.concat(F.lit("urn:a p/"), name, F.lit(" urn:a q/"), name)).when(kind == 4, F.concat(F.lit("urn:a "), name, F.lit(" urn:a")))
+    at = at.when(kind == 5, F.concat(F.lit("urn:a x"), name)).when(kind == 6, F.concat(F.lit("urn:a "), name, F.lit(" urn:b other urn:a "), name))
+    found = p.select("page_id", xml.hint(F.lit("urn:a"), at, F.lit(None).cast("string"), dictionary.REVISION_PATTERN, "E172-").alias("h"))
+    return found.select("page_id", F.col("h.code").alias("code"), F.col("h.revision").alias("revision"))
 
 
 def html_escape(spark, sf):
@@ -344,11 +314,9 @@ ORACLE = {
     "resolve_by_id": _RESOLVE_SQL,
     "resolution_states": f"SELECT state, reason, count(*) AS n FROM ({_RESOLVE_SQL}) GROUP BY state, reason",
     "unresolved_ledger": f"SELECT owner_key, 'UNRESOLVED_REFERENCE' AS code, reason, 'WARNING' AS severity FROM ({_RESOLVE_SQL}) WHERE state <> 'RESOLVED'",
-    "resolve_by_name": "WITH g AS (SELECT p_name, count(*) AS n, min('part:' || p_partkey) AS k FROM part GROUP BY p_name) SELECT 'r:' || p.p_partkey AS owner_key, p.p_name AS name, CASE WHEN g.n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS state, CAST(CASE WHEN g.n = 1 THEN 0 ELSE g.n END AS BIGINT) AS n_candidates, g.k AS first_key FROM part p JOIN g ON p.p_name = g.p_name WHERE p.p_partkey % 7 = 0",
-    "resolve_by_name_all": "WITH g AS (SELECT p_name, count(*) AS n, min('part:' || p_partkey) AS k FROM part GROUP BY p_name) SELECT 'r:' || p.p_partkey AS owner_key, p.p_name AS name, CASE WHEN g.n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS state, CAST(CASE WHEN g.n = 1 THEN 0 ELSE g.n END AS BIGINT) AS n_candidates, g.k AS first_key FROM part p JOIN g ON p.p_name = g.p_name",
+    "resolve_by_name": "WITH g AS (SELECT p_name, count(*) AS n, min('part:' || p_partkey) AS k FROM part GROUP BY p_name) SELECT 'r:' || p.p_partkey AS owner_key, p.p_name AS name, CASE WHEN g.n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS state, CASE WHEN g.n > 1 THEN 'AMBIGUOUS' END AS reason, CAST(CASE WHEN g.n = 1 THEN 0 ELSE g.n END AS BIGINT) AS n_candidates, g.k AS first_key FROM part p JOIN g ON p.p_name = g.p_name",
     "resolve_intersect": "SELECT 'r:' || p.p_partkey AS owner_key, CASE WHEN q.p_partkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state, CASE WHEN q.p_partkey IS NULL THEN 'NOT_FOUND' END AS reason, 'part:' || q.p_partkey AS target_key FROM part p LEFT JOIN part q ON q.p_partkey = p.p_partkey - p.p_partkey % 3 AND q.p_name = p.p_name",
-    "resolve_scope": "SELECT 'o:' || o_orderkey AS owner_key, CASE WHEN l.l_orderkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state, CASE WHEN l.l_orderkey IS NULL THEN 'NOT_FOUND' END AS reason, l.l_orderkey || '/1' AS target_key FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1) l ON l.l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0",
-    "resolve_scope_all": "SELECT 'o:' || o_orderkey AS owner_key, CASE WHEN l.l_orderkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state, CASE WHEN l.l_orderkey IS NULL THEN 'NOT_FOUND' END AS reason, l.l_orderkey || '/1' AS target_key FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1) l ON l.l_orderkey = o_orderkey",
+    "resolve_scope": "SELECT 'o:' || o_orderkey AS owner_key, CASE WHEN l.l_orderkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state, CASE WHEN l.l_orderkey IS NULL THEN 'NOT_FOUND' END AS reason, l.l_orderkey || '/1' AS target_key FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1) l ON l.l_orderkey = o_orderkey",
     "adjacency_degree": "SELECT 'nation:' || n_nationkey AS key, CAST((SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS BIGINT) AS n_in, CAST(1 AS BIGINT) AS n_out FROM nation",
     "dep_referenced_by": "SELECT l_partkey AS subject, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_partkey",
     "dep_linked_report": "SELECT o_custkey AS subject, count(DISTINCT l_partkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey",
@@ -366,21 +334,17 @@ ORACLE = {
     "match_collision": "SELECT CASE WHEN o = 1 AND n = 1 THEN 'match' WHEN o + n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS outcome, o, n, count(*) AS components FROM (SELECT count(*) FILTER (doc_id % 2 = 0) AS o, count(*) FILTER (doc_id % 2 = 1) AS n FROM documents GROUP BY text) GROUP BY outcome, o, n",
     "match_scoped": "SELECT CAST(l_orderkey AS VARCHAR) AS order_key, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) GROUP BY l_orderkey",
     "diff_properties": _CHANGES + "SELECT key, field, before, after FROM k",
-    "diff_kinds": _CHANGES + "SELECT kind, category, count(*) AS n FROM k GROUP BY kind, category",
     "change_code": _CHANGES + "SELECT 'SV_' || kind AS code, count(*) AS n FROM k GROUP BY kind",
-    "report_summary": _CHANGES + "SELECT count(*) AS changes, count(*) FILTER (category = 'INTERFACE_CHANGE') AS interface, count(*) FILTER (category = 'DOCUMENTATION_CHANGE') AS documentation, CAST(0 AS BIGINT) AS unknown, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed FROM k",
-    "completeness": _CHANGES + "SELECT true AS is_complete, count(*) FILTER (category = 'INTERFACE_CHANGE') > 0 AS has_interface, count(*) FILTER (category = 'DOCUMENTATION_CHANGE') > 0 AS has_documentation, false AS has_unknown FROM k",
     "report_json": _CHANGES + """SELECT 'SV_' || kind AS code, CAST(to_json({'after': after, 'before': before, 'canonical_type': 'status_variable', 'category': category, 'code': 'SV_' || kind, 'field': field, 'key': CAST(key AS VARCHAR), 'kind': kind}) AS VARCHAR) AS json FROM k""",
     "report_html": _CHANGES + """SELECT CAST(key AS VARCHAR) AS key, field, '<tr><td>SV_' || kind || '</td><td>status_variable ' || key || '</td><td>' || field || '</td><td>' || replace(coalesce(before, '—'), '&', '&amp;') || '</td><td>' || replace(coalesce(after, '—'), '&', '&amp;') || '</td></tr>' AS html FROM k""",
     "report_text": _CHANGES + """SELECT CAST(key AS VARCHAR) AS key, field, category || '  ' || kind || '  status_variable ' || key || '.' || field || ': ' || coalesce('"' || before || '"', 'none') || ' -> ' || coalesce('"' || after || '"', 'none') AS line FROM k""",
-    "check_relationships": "SELECT count(*) AS checked, CAST(0 AS BIGINT) AS broken FROM part WHERE p_partkey % 7 = 0",
-    "check_relationships_all": "SELECT count(*) AS checked, CAST(0 AS BIGINT) AS broken FROM part",
+    "check_relationships": "WITH x AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AS solid FROM part) SELECT CASE WHEN solid THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS state, count(*) AS broken FROM x WHERE k % 11 = 0 OR (solid AND k % 5 = 0) OR (NOT solid AND k % 7 = 0) GROUP BY solid",
     "diff_multiset": _TURNS + "SELECT conv_id, coalesce(string_agg(CASE WHEN d > 0 THEN rtrim(repeat(role || ',', CAST(d AS BIGINT)), ',') END, ',' ORDER BY role), '') AS added, coalesce(string_agg(CASE WHEN d < 0 THEN rtrim(repeat(role || ',', CAST(-d AS BIGINT)), ',') END, ',' ORDER BY role), '') AS removed FROM d GROUP BY conv_id",
     "diff_order": _TURNS + "SELECT conv_id, coalesce(list_sort(a) = list_sort(b) AND a <> b, false) AS order_changed, (a IS NULL OR b IS NULL) AS presence_changed FROM l",
     "certain_add_remove": """WITH u AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'old' ELSE 'new' END AS side, 'supplier' AS canonical_type, CASE WHEN s_suppkey = 3 THEN 0 ELSE 1 END AS sure FROM supplier UNION ALL SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'old' ELSE 'new' END, 'nation', 1 FROM nation),
       x AS (SELECT u.side, u.canonical_type, CASE WHEN sure = 0 OR EXISTS (SELECT 1 FROM u v WHERE v.sure = 0 AND v.side <> u.side AND v.canonical_type = u.canonical_type) THEN 'INSUFFICIENT_IDENTITY' WHEN u.side = 'old' THEN 'ENTITY_REMOVED' ELSE 'ENTITY_ADDED' END AS kind FROM u)
       SELECT kind, side, canonical_type, count(*) AS n FROM x GROUP BY kind, side, canonical_type""",
-    "revision_hint": "SELECT page_id, nullif(regexp_extract(string_split(regexp_replace(url, '\\?.*$', ''), '/')[-1], '^([0-9]{4})$', 1), '') AS label FROM pages",
+    "revision_hint": "SELECT page_id, CASE page_id % 8 WHEN 2 THEN 'MISSING_SCHEMA_HINT' WHEN 3 THEN 'AMBIGUOUS_SCHEMA_HINT' WHEN 4 THEN 'MALFORMED_SCHEMA_HINT' WHEN 5 THEN 'UNRECOGNIZED_SCHEMA_HINT' WHEN 7 THEN 'MISSING_SCHEMA_HINT' END AS code, CASE WHEN page_id % 8 IN (0, 1, 6) THEN 'E172-' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') END AS revision FROM pages",
     "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages",
     "xml_bool_int": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE WHEN p_size % 7 <> 0 AND p_size BETWEEN 1 AND 40 THEN CAST(p_size AS BIGINT) END AS number FROM part",
     "sibling_index": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS nth FROM conversations",
@@ -394,8 +358,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLE}
+    return {name: globals()[name] for name in ORACLE} | versions.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | versions.ORACLE
