@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strataweave import engine
 from strataweave.errors import InputTooLargeError, InvalidXmlError, UnsafeXmlError
 from strataweave.operators import graph, resolve
-from strataweave.sources import dictionary, xml
+from strataweave.sources import xml
 
 DOC = """<?xml version="1.0"?>
 <s:DataDictionary xmlns:s="urn:semi-org:xsd.SEDD" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="urn:semi-org:xsd.SEDD http://x/E172-0225-SEDD-Schema.xsd">
@@ -21,29 +22,29 @@ DOC = """<?xml version="1.0"?>
 
 @pytest.fixture(scope="module")
 def doc(spark):
-    return dictionary.from_files(spark.createDataFrame([("d1", bytearray(DOC))], "doc_id string, content binary"))
+    return engine.from_files(spark.createDataFrame([("d1", bytearray(DOC))], "doc_id string, content binary"))
 
 
 def test_entities_keep_exact_text(doc):
-    got = {(r.canonical_type, r.implementation_id, r.name) for r in doc.entities().collect()}
+    got = {(r.canonical_type, r.implementation_id, r.name) for r in doc.entities.collect()}
     assert ("status_variable", "007", "Pressure") in got and ("status_variable", " 7", None) in got
     assert ("remote_command_parameter", None, "P") in got and len(got) == 9
-    owner = doc.entities().filter("canonical_type = 'remote_command_parameter'").first()
-    assert owner.owner_key.endswith("/RemoteCommand[1]") and owner.requiredness == "Yes"
+    owner = doc.entities.filter("canonical_type = 'remote_command_parameter'").first()
+    assert owner.owner_key.endswith("/RemoteCommand[1]") and owner.fields["requiredness"] == '"yes"'
 
 
 def test_routing_and_diagnostics(doc):
-    assert doc.routing().first().support == "SUPPORTED"
-    assert {(r.code, r.field) for r in doc.diagnostics().collect()} == {("AMBIGUOUS_FIELD", "SVNAME"), ("INVALID_FIELD", "ALCD")}
+    assert doc.documents.first().status == "supported"
+    assert {(r.code, r.field) for r in doc.adapter_diagnostics.filter("severity = 'ERROR'").collect()} == {("AMBIGUOUS_FIELD", "SVNAME"), ("INVALID_FIELD", "ALCD"), ("MISSING_REQUIRED_STRUCTURE", "SEDDHeader")}
 
 
 def test_references_resolve(doc):
-    rel = resolve.resolve(doc.references(), doc.entities(), by=["doc_id"])
+    rel = resolve.resolve(doc.references, doc.entities, by=["doc_id"])
     got = {(r.role, r.state, r.reason) for r in rel.collect()}
     assert got == {("format", "RESOLVED", None), ("set_event", "RESOLVED", None), ("clear_event", "UNRESOLVED", "NOT_FOUND"), ("variables[0]", "RESOLVED", None), ("variables[1]", "UNRESOLVED", "WRONG_TYPE"), ("variables[2]", "RESOLVED", None), ("event", "RESOLVED", None), ("reports[0]", "RESOLVED", None), ("valid_data_variables[0]", "UNRESOLVED", "UNSUPPORTED")}  # noqa: E501
     assert resolve.violations(rel).count() == 0
-    start = doc.entities().filter("canonical_type = 'collection_event'").select("key")
-    near = {r.key.split("/")[-1]: r.depth for r in graph.bounded_distances(graph.traversable(rel, doc.entities()), start, 3).collect()}
+    start = doc.entities.filter("canonical_type = 'collection_event'").select("key")
+    near = {r.key.split("/")[-1]: r.depth for r in graph.bounded_distances(graph.traversable(rel, doc.entities), start, 3).collect()}
     assert near == {"CollectionEvent[1]": 0, "Alarm[1]": 1, "EventReportLink[1]": 1, "DefaultReportDefinition[1]": 2, "StatusVariable[1]": 3}
 
 
@@ -69,7 +70,7 @@ def test_ambiguous_candidates_are_kept(spark):
     e = spark.createDataFrame([("k1", "part", "1", "x"), ("k2", "part", "2", "x"), ("k3", "other", "9", "y")], "key string, canonical_type string, implementation_id string, name string")
     r = spark.createDataFrame([("o", "a", ["part"], None, "x"), ("o", "b", ["part"], "1", "x"), ("o", "c", ["part"], "1", "y"), ("o", "d", ["part"], None, None), ("o", "e", [], "1", None), ("o", "f", ["part"], "9", None), ("o", "g", ["part"], "", None)], "owner_key string, role string, target_types array<string>, implementation_id string, name string")
     got = {x.role: (x.state, x.reason, x.target_key, x.candidate_keys) for x in resolve.resolve(r, e).collect()}
-    assert got["a"] == ("AMBIGUOUS", None, None, ["k1", "k2"]) and got["b"][2] == "k1"
+    assert got["a"] == ("AMBIGUOUS", "AMBIGUOUS", None, ["k1", "k2"]) and got["b"][2] == "k1"
     assert [got[k][1] for k in "cdefg"] == ["NOT_FOUND", "MISSING_SELECTOR", "UNSUPPORTED", "WRONG_TYPE", "NOT_FOUND"]
 
 
