@@ -92,7 +92,9 @@ def test_repeated_spans_against_all_substrings(spark):
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randrange(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
     passages = [prose(rng.randrange(52, 90)) for _ in range(25)]
-    texts = {i: " ".join(rng.choice([prose(20), prose(35), rng.choice(passages), "and so on"]) for _ in range(rng.randrange(1, 6))) for i in range(120)}
+    # Each piece ends in a character of its own: a later document that shares more by chance isn't the one a span is told by.
+    ends = map(chr, range(0xE000, 0xF000))
+    texts = {i: "".join(next(ends) + rng.choice([prose(20), prose(35), rng.choice(passages), "and so on"]) for _ in range(rng.randrange(1, 6))) + next(ends) for i in range(120)}
     texts |= {500: "", 501: None, 502: texts[0]}
     got = substring.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()
     found = {i: set() for i in texts}
