@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .errors import InputError, ModelValidationError
 from .operators import compare as comparing
-from .operators import graph, resolve
+from .operators import graph, resolve, rules
 from .sources import paths, xml
 from .sources.dictionary import TYPES
 from .sources.registry import Registry
@@ -67,6 +67,17 @@ class Interface:
         graph.check_paths(proofs, ["doc_id"])
         return proofs
 
+    @property
+    def pending(self) -> DataFrame:
+        """References before resolution, with why they may never be resolved: an empty selector counts as none here."""
+        given = F.concat_ws("", "implementation_id", "name", "wkn_value") != ""
+        return self.references.withColumn("reason", F.when(given, "NOT_ATTEMPTED").otherwise(resolve.MISSING_SELECTOR))
+
+    def violations(self) -> DataFrame:
+        """Rows that break a rule of the model: none, unless an adapter is at fault."""
+        by = ["doc_id"]
+        return rules.subjects(self.subjects, by).unionByName(rules.references(self.references, by)).unionByName(rules.relationships(self.relationships, self.entities, by)).unionByName(rules.diagnostics(self.diagnostics, by))
+
     def counts(self) -> DataFrame:
         """(doc_id, canonical_type, n): entities by type, zeros included."""
         n = self.entities.groupBy("doc_id", "canonical_type").agg(F.count("*").alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import engine
 from ..functions import text as T
-from ..operators import compare, diff, graph, match, resolve
+from ..operators import compare, diff, graph, match, resolve, rules
 from ..sources.dictionary import NAMESPACE, TYPES
 from ..storage import cut
 
@@ -193,6 +193,7 @@ def match_conflict(spark, sf):
 def _staged(spark, sf: str) -> match.Matching:
     """Suppliers as events and commands, a link and parts as parameters below them."""
     s, k = read(spark, sf, "supplier"), F.col("s_suppkey")
+    n = s.count()
     moved = lambda side: F.when((k % 10 == 3) & (F.lit(side) == "new"), -k).otherwise(k).cast("string")
     columns = ["side", "key", "canonical_type", "implementation_id", "name", "owner_key"]
     entities, references = [], []
@@ -204,7 +205,7 @@ def _staged(spark, sf: str) -> match.Matching:
             twice = s.filter(k % 10 == 4)
             entities.append(one("event_report_link", "m", _none(), _none(), twice))
             references.append(twice.select(F.lit(side).alias("side"), F.concat(F.lit("m"), k).alias("owner_key"), F.concat(F.lit("e"), k).alias("target_key")))
-        parts = read(spark, sf, "part").join(s.agg(F.count("*").alias("n")).hint("broadcast")).withColumn("of", F.col("p_partkey") % F.col("n") + 1)
+        parts = read(spark, sf, "part").withColumn("of", F.col("p_partkey") % n + 1)
         name = F.when((F.col("p_partkey") % 9 == 0) & (F.lit(side) == "new"), F.lit("renamed")).otherwise(F.concat("p_name", F.lit(" "), "p_size"))
         entities.append(parts.select(F.lit(side).alias("side"), F.concat(F.lit("p"), F.col("p_partkey")).alias("key"), F.lit("remote_command_parameter").alias("canonical_type"), _none().alias("implementation_id"), name.alias("name"), F.concat(F.lit("c"), F.col("of")).alias("owner_key")))
     references = _union(*references).withColumn("role", F.lit("event")).withColumn("state", F.lit(resolve.RESOLVED))
@@ -382,6 +383,22 @@ def resolve_union(spark, sf):
     return resolve.resolve(r, e).select("owner_key", "state", "reason", "n_candidates")
 
 
+def check_rules(spark, sf):
+    """Integrity rules over rows that are spoilt on purpose: how many rows break each."""
+    s, k = read(spark, sf, "supplier"), F.col("s_suppkey")
+    spoilt = lambda n: k % n == 0
+    base = s.select(k, F.when(spoilt(11), F.lit(" \u2003")).otherwise(F.concat(F.lit("s"), k)).alias("key"), F.lit("remote_command_parameter").alias("canonical_type"), F.concat(F.lit("c"), k % 3).alias("owner_key"), F.lit("w").alias("wkn_value"),
+                    F.when(~spoilt(7), F.lit("reg")).alias("wkn_authority"), F.lit("demo").alias("wkn_scope"), F.lit("verified").alias("wkn_status"), F.lit("/p").alias("path"), F.when(spoilt(5), 0).otherwise(3).alias("line"), F.lit(1).alias("col"), F.lit(0).alias("doc"))
+    subjects = base.unionByName(base.filter(spoilt(13) & ~spoilt(11)))
+    refs = s.filter(~spoilt(11)).select(k, F.lit(0).alias("doc"), F.when(spoilt(17), F.lit("nobody")).otherwise(F.concat(F.lit("s"), k)).alias("owner_key"), F.lit("format").alias("field"), F.lit("format").alias("role"),
+                    F.when(spoilt(4), F.array(F.lit("alarm"), F.lit("alarm"))).otherwise(F.array(F.lit("remote_command_parameter"))).alias("target_types"), F.when(spoilt(9), F.lit("gone")).otherwise(F.concat(F.lit("s"), k)).alias("target_key"),
+                    F.concat(F.lit("c"), F.when(spoilt(2), k % 3).otherwise((k + 1) % 3)).alias("scope_key"), F.array().cast("array<string>").alias("candidate_keys"), F.lit("RESOLVED").alias("state"), F.when(spoilt(19), "NOT_FOUND").alias("reason"), F.lit("/r").alias("path"), F.lit(1).alias("line"), F.lit(1).alias("col"))
+    d = s.select(F.lit(0).alias("doc"), F.concat(F.lit("s"), k).alias("owner_key"), F.lit("CODE").alias("code"), F.when(spoilt(6), "").otherwise("said").alias("message"), F.when(spoilt(10), "FATAL").otherwise("INFO").alias("severity"))
+    every = subjects.select("doc", "key", "canonical_type", "owner_key").unionByName(s.select(F.lit(0).alias("doc"), F.concat(F.lit("c"), k % 3).alias("key"), F.lit("remote_command").alias("canonical_type"), _none().alias("owner_key")).distinct())
+    found = _union(rules.subjects(subjects, ["doc"]), rules.references(refs, ["doc"]), rules.relationships(refs, every.distinct(), ["doc"]), rules.diagnostics(d, ["doc"]))
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
 _DOCS = "WITH s AS (SELECT s_suppkey AS k, s_name AS name, 'old/' || s_nationkey AS doc_id, CAST(s_nationkey AS VARCHAR) AS pair FROM supplier)"
 _KIND_SQL = """CASE WHEN f IN ('state_transition.extensions', 'structure.extensions', 'format.metadata', 'unknown_extensions', 'extension_metadata') THEN 'UNKNOWN_CHANGE'
   WHEN f = 'structure.documentation' THEN 'DESCRIPTION_CHANGED' WHEN f = 'requirements.documentation' THEN 'DOCUMENTATION_CHANGED' WHEN f = 'implementation_id' THEN 'IMPLEMENTATION_ID_CHANGED' WHEN f = 'wkn' THEN 'WELL_KNOWN_NAME_CHANGED'
@@ -451,6 +468,14 @@ ORACLE = {
       UNION ALL SELECT 'by_type', 'part', '', count(*), min('p' || p_partkey) FROM part UNION ALL SELECT 'by_type', 'remote_command', '', count(*), min('s' || s_suppkey) FROM supplier""",
     "resolve_by_wkn": """SELECT 'r' || s_suppkey AS owner_key, CASE WHEN ok AND s_suppkey % 7 <> 0 THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS state, CASE WHEN NOT ok THEN 'NOT_FOUND' WHEN s_suppkey % 7 = 0 THEN 'WRONG_TYPE' END AS reason, CASE WHEN ok AND s_suppkey % 7 <> 0 THEN 's' || s_suppkey END AS target_key
       FROM (SELECT s_suppkey, (s_suppkey % 3 = 0) = (s_suppkey % 2 = 0) AS ok FROM supplier)""",
+    "check_rules": """WITH s AS (SELECT s_suppkey AS k FROM supplier), t AS (SELECT k FROM s UNION ALL SELECT k FROM s WHERE k % 13 = 0 AND k % 11 <> 0), r AS (SELECT * FROM s WHERE k % 11 <> 0),
+      x AS (SELECT 'a key is not blank' AS rule, count(*) FILTER (k % 11 = 0) AS n FROM t UNION ALL SELECT 'a key stands once', count(*) FILTER (k % 13 = 0 AND k % 11 <> 0) + CASE WHEN count(*) FILTER (k % 11 = 0) > 1 THEN 1 ELSE 0 END FROM s
+        UNION ALL SELECT 'a verified name has value, authority and scope', count(*) FILTER (k % 7 = 0) FROM t UNION ALL SELECT 'a place has a line and a column from 1 on', count(*) FILTER (k % 5 = 0) FROM t
+        UNION ALL SELECT 'target types are distinct', count(*) FILTER (k % 4 = 0) FROM r UNION ALL SELECT 'target types fit the role', count(*) FROM r
+        UNION ALL SELECT 'an owner is an entity', count(*) FILTER (k % 17 = 0) FROM r UNION ALL SELECT 'a target is an entity', count(*) FILTER (k % 9 = 0) FROM r
+        UNION ALL SELECT 'a target is of a type asked for', count(*) FILTER (k % 4 = 0 AND k % 9 <> 0) FROM r UNION ALL SELECT 'a target lies within the scope', count(*) FILTER (k % 2 <> 0 AND k % 9 <> 0) FROM r
+        UNION ALL SELECT 'an outcome doesn''t contradict itself', count(*) FILTER (k % 19 = 0) FROM r UNION ALL SELECT 'a diagnostic has code, message and a known severity', count(*) FILTER (k % 6 = 0 OR k % 10 = 0) FROM s)
+      SELECT rule, n FROM x WHERE n > 0""",
     "resolve_union": """WITH d AS (SELECT 'd' || n_regionkey AS name, count(*) FILTER (n_nationkey % 2 = 0) AS n FROM nation GROUP BY n_regionkey), x AS (SELECT s_suppkey AS k, s_suppkey % 3 = 0 AS other, coalesce(d.n, 0) AS n FROM supplier LEFT JOIN d ON d.name = 'd' || s_suppkey % 6)
       SELECT 'r' || k AS owner_key, CASE WHEN NOT other AND n = 1 THEN 'RESOLVED' WHEN NOT other AND n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS state, CASE WHEN n = 0 THEN 'NOT_FOUND' WHEN other THEN 'WRONG_TYPE' WHEN n > 1 THEN 'AMBIGUOUS' END AS reason, CAST(CASE WHEN NOT other AND n > 1 THEN n ELSE 0 END AS BIGINT) AS n_candidates FROM x""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataweave import engine
 from strataweave.errors import AdapterRegistrationError, AmbiguousRevisionError, InputError, ModelValidationError, ResourceLimitError, UnsupportedRevisionError
-from strataweave.operators import compare, graph, match, resolve
+from strataweave.operators import compare, graph, match, resolve, rules
 from strataweave.plans.synthetic import document, element, measured, text
 from strataweave.sources import paths, xml
 from strataweave.sources.dictionary import DictionaryAdapter
@@ -131,6 +131,11 @@ def files(spark, **docs):
 
 def test_whole_document_is_mapped(spark):
     i = engine.from_files(files(spark, m=machine()))
+    assert i.violations().count() == 0 and {r.reason for r in i.pending.collect()} == {"NOT_ATTEMPTED"}
+    rules.check_types(i.entities, "key string, canonical_type string, idx int, fields map<string,string>")
+    assert rules.indexes(resolve.indexes(i.entities, ["doc_id"])).count() == 0
+    with pytest.raises(ModelValidationError):
+        rules.check_types(i.entities, "key long")
     assert i.extensions.count() == 0 and i.diagnostics.filter("severity <> 'INFO'").count() == 0 and i.unresolved.count() == 0
     assert {r.canonical_type: r.n for r in i.counts().collect()} == dict.fromkeys((r.canonical_type for r in i.counts().collect()), 1) | {"collection_event": 2, "remote_command_parameter": 2}
     f = {(r.canonical_type, r.implementation_id): r.fields for r in i.subjects.collect()}
