@@ -87,6 +87,20 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(k, chr(10))
 FROM kept
 """
 
+#: The whole self join of shingles, and reachability over its links: for small tables.
+_OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM d),
+c AS (SELECT doc_id, sh, min(doc_id) OVER (PARTITION BY list_sort(sh)) AS rep FROM s WHERE len(sh) > 0),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS sh FROM c WHERE doc_id = rep),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM c WHERE doc_id = rep UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
+least AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(least.component, s.doc_id) AS component_id, coalesce(least.component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON c.doc_id = s.doc_id LEFT JOIN least ON least.a = c.rep
+"""
+
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 first AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
@@ -101,4 +115,4 @@ FROM x
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _OP3_SQL, "op9_warc": _OP9_SQL}
+    return {"op3_line_dedup": _OP3_SQL, "op4_near_dedup": _OP4_SQL, "op9_warc": _OP9_SQL}
