@@ -44,7 +44,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """Word -> 64-bit hash; the first LIMIT words are kept, the frequent ones among them."""
+    """Word -> 64-bit hash; the first LIMIT words of a task are kept, the frequent ones among them."""
 
     LIMIT = 100_000
 
@@ -139,6 +139,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s, seeds).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "sig"])
+        _WORDS.clear()
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
 
@@ -233,6 +234,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
                 if same and 100 * same >= percent * (len(x) + len(y) - same):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        _WORDS.clear()
 
     dealt = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     return dealt.mapInArrow(scan, "a long, b long").distinct()

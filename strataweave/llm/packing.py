@@ -54,7 +54,7 @@ class WordTokenizer:
     those are the frequent ones; a full memory is kept.
     """
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
