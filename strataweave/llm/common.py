@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, drop, drop_path, new_path, ship
 
-__all__ = ["drop", "drop_path", "drop_table", "key_join", "new_path", "partitions", "prepare", "read", "table", "thinned"]
+__all__ = ["drop", "drop_path", "drop_table", "key_join", "new_path", "partitions", "prepare", "read", "table", "thinned", "tidy"]
 
 #: Arrow batches handed to Python hold at most this many rows and about this many bytes.
 BATCH_ROWS = 1024
@@ -32,6 +36,13 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
+def tidy() -> None:
+    """Give the memory that a finished task of a Python worker has freed back to the system; the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, tidy
 
 ORDERS = 3
 PER_LANGUAGE = 200
@@ -91,14 +91,16 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        sets = [ngrams(t) for t in texts]
-        known = [i for i, s in enumerate(sets) if s is not None]
+        """The language and score of each text; the n-grams of SCORED_AT_ONCE texts are in memory at a time."""
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        if known and self.languages:
+        for lo in range(0, len(texts) if self.languages else 0, SCORED_AT_ONCE):
+            sets = [ngrams(t) for t in texts[lo : lo + SCORED_AT_ONCE]]
+            known = [i for i, s in enumerate(sets) if s is not None]
+            if not known:
+                continue
             values = self.scores([sets[i] for i in known])
-            best = values.argmax(1)
-            for i, b, v in zip(known, best, values.max(1), strict=True):
-                names[i], scores[i] = self.languages[b], float(min(1.0, max(0.0, v)))
+            for i, b, v in zip(known, values.argmax(1), values.max(1), strict=True):
+                names[lo + i], scores[lo + i] = self.languages[b], float(min(1.0, max(0.0, v)))
         return names, scores
 
 
@@ -170,6 +172,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for b in batches:
             names, scores = m.predict(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
+        tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
     return source.mapInArrow(scan, f"{fields}, lang_pred string, score double")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, key_join, prepare, table, thinned
+from .common import drop_table, key_join, prepare, table, thinned, tidy
 from .components import components
 
 TREES = 28
@@ -140,6 +140,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                 sig.append(signature(s, seeds).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "sig"])
         _WORDS.clear()
+        tidy()
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
 
@@ -235,6 +236,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
         _WORDS.clear()
+        tidy()
 
     dealt = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     return dealt.mapInArrow(scan, "a long, b long").distinct()

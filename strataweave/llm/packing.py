@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, table, tidy
 
 LENGTH = 2048
 GRAIN = 8
@@ -133,6 +133,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             cols = list(zip(*out, strict=True)) or [()] * 8
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "unit", "part", "nth"])
+        tidy()
 
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return source.mapInArrow(scan, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, unit int, part int, nth long")
