@@ -33,6 +33,8 @@ MOST_PIVOTS = 20_000
 PAYS = 1e-6
 POOL_WORTH = 0.9
 BROADCAST_ROWS = 200_000
+#: Texts whose words are in memory at a time.
+AT_ONCE = 256
 
 _PLAIN = re.compile(r"[\x21-\x7e\xc0-\xff]+")
 #: The split pattern of word_bpe_49k for plain chunks, where white space is gone.
@@ -122,7 +124,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         end = array("I", [END_ID]).tobytes()
         for b in batches:
             out = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), tok.ids(b.column(1)), strict=True):
+            texts = (ids for lo in range(0, b.num_rows, AT_ONCE) for ids in tok.ids(b.column(1).slice(lo, AT_ONCE)))
+            for doc_id, ids in zip(b.column(0).to_pylist(), texts, strict=True):
                 ids = ids.as_py() + end
                 total = len(ids) // 4
                 for at in range(0, total, length):
